@@ -15,7 +15,7 @@ copies costs one posting. List lengths come from a pre-aggregated count. The lon
 pair join. Nothing is collected to the driver.
 
 Edge cases: null fields are empty text; a record with fewer words than a shingle has no shingles and no partners;
-repeated ids keep their first row's text (by order of text); extra columns are ignored; an empty table gives an empty
+ids are unique, and rows repeated under one id count as one; extra columns are ignored; an empty table gives an empty
 result.
 """
 
@@ -93,9 +93,8 @@ class NearDuplicates:
         self.min_matches = max(prefix_matches, min_matches)
         self.prefix_matches = prefix_matches
         self.prefix = coordinates - self.min_matches + prefix_matches
-        src = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).where("id is not null")
-        self.texts = src.groupBy("id").agg(F.min("text").alias("text"))
-        sketch = src.mapInPandas(
+        self.texts = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).where("id is not null")
+        sketch = self.texts.mapInPandas(
             _sketches(coordinates, width), "id long, set_key long, size int, postings array<long>"
         )
         self.sketches = cut_lineage(sketch)
@@ -106,8 +105,11 @@ class NearDuplicates:
 
     def class_pairs(self) -> DataFrame:
         """rep_a < rep_b, similarity: representatives of different classes that are alike enough."""
-        reps = self.sketches.join(self.classes.select(F.col("rep").alias("id"), "set_key"), ["id", "set_key"])
-        post = reps.dropDuplicates(["id"]).select("id", "size", F.explode("postings").alias("element"))
+        reps = self.sketches.groupBy("set_key").agg(
+            F.min("id").alias("id"), F.first("size").alias("size"), F.first("postings").alias("postings")
+        )
+        # One exchange on the element serves both the list lengths and their join back.
+        post = reps.select("id", "size", F.explode("postings").alias("element")).repartition("element")
         lists = post.groupBy("element").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
         # A posting alone in its list can't collide; it only takes a place at the front of the order.
         shared = post.join(lists, "element")
@@ -116,9 +118,9 @@ class NearDuplicates:
         )
         coordinates = self.prefix + self.min_matches - self.prefix_matches
         alone = F.lit(coordinates) - F.size("shared")
-        prefix = ordered.where(alone < self.prefix).select(
+        prefix = cut_lineage(ordered.where(alone < self.prefix).select(
             "id", "size", F.explode(F.slice("shared", F.lit(1), (F.lit(self.prefix) - alone).cast("int"))).alias("p")
-        ).select("id", "size", F.col("p.element").alias("element"))
+        ).select("id", "size", F.col("p.element").alias("element")))
         a, b = prefix.alias("a"), prefix.alias("b")
         ratio = self.similarity
         hits = a.join(
@@ -131,7 +133,10 @@ class NearDuplicates:
         counted = hits.groupBy("rep_a", "rep_b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= self.prefix_matches)
         candidates = cut_lineage(counted.select("rep_a", "rep_b"))
         needed = candidates.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct()
-        sets = self.texts.join(needed, "id").mapInPandas(_shingle_sets(self.width), "id long, shingles array<long>")
+        sets = (
+            self.texts.join(needed, "id")
+            .mapInPandas(_shingle_sets(self.width), "id long, shingles array<long>").dropDuplicates(["id"])
+        )
         both = candidates.join(sets.select(F.col("id").alias("rep_a"), F.col("shingles").alias("sa")), "rep_a").join(
             sets.select(F.col("id").alias("rep_b"), F.col("shingles").alias("sb")), "rep_b"
         )

@@ -5,10 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import leakage, neardup, splitting
+from quarrylens.llm import leakage, neardup, splitting, truncation
 from quarrylens.session import table
 
 
+def _stored_texts(spark: SparkSession, d: str) -> DataFrame:
+    fields = (("vulns", "vuln_id", "poc_code", True), ("da_results", "da_id", "rebuttal", False), ("poc_results", "run_id", "stdout", False))
+    parts = [
+        table(spark, d, t).select(
+            F.lit(t).alias("tbl"), F.col(i).alias("row_id"), "source", F.col(c).alias("text"), F.lit(code).alias("code")
+        )
+        for t, i, c, code in fields
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.judge(_stored_texts(spark, d)).where("cut").select("tbl", "row_id")
+
+
+def p1_shares(spark: SparkSession, d: str) -> DataFrame:
+    values = _stored_texts(spark, d)
+    return truncation.cut_shares(values, truncation.judge(values))
+
+
 def _vuln_duplicates(spark: SparkSession, d: str) -> neardup.NearDuplicates:
     """Three words and 0.6, as the data description fixes them for this table."""
     text = neardup.joined_fields("description", "root_cause", "affected_file")
@@ -54,6 +74,7 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found, "p1_shares": p1_shares,
     "p2_found": p2_found, "p2_groups": p2_groups,
     "p5_found": p5_found, "p5_pieces": p5_pieces,
     "p6_found": p6_found, "p6_items": p6_items,
