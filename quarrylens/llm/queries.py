@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import leakage, neardup, splitting, truncation
+from quarrylens.llm import leakage, neardup, secrets, splitting, truncation
 from quarrylens.session import table
 
 
@@ -47,6 +47,21 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _code(spark: SparkSession, d: str) -> DataFrame:
+    nodes = table(spark, d, "nodes").select(F.lit("nodes").alias("tbl"), F.col("id").alias("row_id"), F.col("code").alias("text"))
+    return nodes.unionByName(
+        table(spark, d, "vulns").select(F.lit("vulns").alias("tbl"), F.col("vuln_id").alias("row_id"), F.col("poc_code").alias("text"))
+    )
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.find_secrets(_code(spark, d))
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.redact_secrets(_code(spark, d))
+
+
 def _sized(spark: SparkSession, d: str) -> DataFrame:
     nodes = table(spark, d, "nodes").select(F.lit("nodes").alias("tbl"), F.col("id").alias("row_id"), F.col("code").alias("text"))
     chunks = table(spark, d, "code_chunks").select(
@@ -76,6 +91,7 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found, "p1_shares": p1_shares,
     "p2_found": p2_found, "p2_groups": p2_groups,
+    "p3_found": p3_found, "p3_redacted": p3_redacted,
     "p5_found": p5_found, "p5_pieces": p5_pieces,
     "p6_found": p6_found, "p6_items": p6_items,
 }

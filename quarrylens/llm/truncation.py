@@ -29,6 +29,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.session import cut_lineage
 
-_WORD = re.compile(r"\w+(?:[./]\w+)*(?=\W|$)|\w+")
+_WORD = re.compile(r"(\w+(?:[./]\w+)*)")
 _IDENT = re.compile(r"[_/.\d]|[a-z][A-Z]")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[^\W\d_a-zA-Z]+")
 _SENTENCE_END = re.compile(r"^[`\"'*)\]}]*[.!?。…]+[`\"'*)\]}]*(?=\s|$)")
@@ -46,7 +47,7 @@ _MARK = re.compile(
     re.IGNORECASE,
 )
 _DOTS = re.compile(r"(?:…|\.{3})\s*$")
-_LIST_ITEM = re.compile(r"[ \t]*(?:[-*+]|\d+[.)])[ \t]+(?=\S)")
+_LIST_ITEM = re.compile(r"^[ \t]*(?:[-*+]|\d+[.)])[ \t]+(?=\S)(.*)$", re.MULTILINE)
 _MIXED = re.compile(r"\d[^\W\d_]|[^\W\d_]\d")
 _CLOSED = ")]}\"'`>|"
 _SCAN = re.compile(r'"""|\'\'\'|\\.|["\'#()\[\]{}\n]', re.DOTALL)
@@ -58,7 +59,10 @@ def _shape(word: str) -> str:
         return "0"
     if not _IDENT.search(word):
         return word.lower()
-    return "/" + word.rpartition("/")[2].rpartition(".")[1:][1][:4] * ("." in word) if "/" in word else "i"
+    if "/" not in word:
+        return "i"
+    stem, dot, extension = word.rpartition(".")
+    return f"/{extension[:4]}" if dot and "/" not in extension else "/"
 
 
 def _parts(word: str) -> list[str]:
@@ -95,8 +99,21 @@ def _tail(text: str) -> tuple[str, bool]:
     return "", False
 
 
-def _h(*parts: str) -> int:
-    return xxhash.xxh3_64_intdigest("\x1f".join(parts)) - (1 << 63)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _code(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text)
+
+
+def _mixed(*columns: np.ndarray) -> np.ndarray:
+    """One 64-bit key of several columns of codes."""
+    with np.errstate(over="ignore"):
+        key = np.zeros(len(columns[0]), dtype=np.uint64)
+        for c in columns:
+            key = (key ^ c) * _MIX
+            key ^= key >> np.uint64(29)
+    return key.view(np.int64)
 
 
 def open_structure(text: str, code: bool) -> str:
@@ -145,105 +162,152 @@ def open_structure(text: str, code: bool) -> str:
     return "block" if body.endswith(":") else ""
 
 
-def _places(tbl: str, text: str, begin: int = 0) -> Iterator[tuple[str, int, tuple, tuple, str, bool]]:
-    """For each word: itself, its end, its place (table, word before, marks between, shape), the shorter place without
-    the word before, the marks behind it and whether a line or sentence ends there. Words of list items have their
-    number in the item for a place."""
-    spans = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(text, begin)]
-    before, at, item = "", begin, 0
-    last = len(spans) - 1
-    for k, (word, start, end) in enumerate(spans):
-        between = text[at:start]
-        if not k or "\n" in between:
-            line = text.rfind("\n", 0, start) + 1
-            m = _LIST_ITEM.match(text, line)
-            item = 1 if m and m.end() <= start + 1 else 0
-        elif item:
-            item += 1
-        tail, over = _tail(text[end : spans[k + 1][1]]) if k < last else (_marks(text[end:]), True)
-        shape = _shape(word)
-        if item:
-            yield word, end, (tbl, "-", str(item), ""), (tbl, "-", str(item)), tail, over
-        else:
-            gap = _gap(between)
-            yield word, end, (tbl, before, gap, shape), (tbl, gap, shape), tail, over
-        before, at = shape, end
+class _Kept(dict):
+    """Results of a function by argument; forgotten when they get many."""
+
+    def __init__(self, function):
+        super().__init__()
+        self.function = function
+
+    def __missing__(self, key):
+        if len(self) > 200_000:
+            self.clear()
+        self[key] = value = self.function(key)
+        return value
+
+
+def _tail_code(text: str) -> tuple[int, bool]:
+    marks, over = _tail(text)
+    return _code(marks), over
+
+
+_ITEM = _code("list item")
+
+
+def _u64(values: list) -> np.ndarray:
+    return np.array(values, dtype=np.uint64)
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Words and word places of whole texts, combined within the task; flushed when they get many."""
-    words: Counter = Counter()
-    seen: Counter = Counter()
-    ends: Counter = Counter()
-    last: Counter = Counter()
-    parts_of: dict = {}
-
-    def flush() -> pd.DataFrame:
-        parts = [pd.DataFrame({"word": list(words), "place": 0, "n": list(words.values()), "ends": 0, "final": 0})]
-        for counter, column in ((seen, "n"), (ends, "ends"), (last, "final")):
-            frame = pd.DataFrame({"word": None, "place": [_h(*k) for k in counter], "n": 0, "ends": 0, "final": 0})
-            frame[column] = list(counter.values())
-            parts.append(frame)
-        for c in (words, seen, ends, last):
-            c.clear()
-        return pd.concat(parts, ignore_index=True)
+    """Words and word places of whole texts, counted per batch.
+
+    A text is split into words and what stands between them; both become codes, and the places of all words of the
+    batch are mixed and counted as arrays.
+    """
+    shapes = _Kept(lambda w: _code(_shape(w)))
+    gaps = _Kept(lambda g: _code(_gap(g)))
+    tails = _Kept(_tail_code)
+
+    def counted(keys: np.ndarray, column: str) -> pd.DataFrame:
+        place, n = np.unique(keys, return_counts=True)
+        frame = pd.DataFrame({"word": None, "place": place, "n": 0, "ends": 0, "final": 0})
+        frame[column] = n
+        return frame
 
     for pdf in batches:
+        words: Counter = Counter()
+        shape, before, gap, tail, over, tables, lengths = [], [], [], [], [], [], []
+        finals, items = [], []
         for tbl, text in zip(pdf["tbl"], pdf["text"]):
             body = text.rstrip()
+            split = _WORD.split(body)
+            found, between = split[1::2], split[0::2]
+            if not found:
+                continue
+            table = _code(tbl)
+            mine = [shapes[w] for w in found]
+            mine_gap = [gaps[g] for g in between[:-1]]
+            behind = [tails[g] for g in between[1:-1]]
+            closing = _code(_marks(between[-1]))
             finished = "\n" in text[len(body) :]
-            held = None
-            for word, end, place, near, tail, over in _places(tbl, body):
-                if held is not None:
-                    words.update(held)
-                held = parts_of.get(word)
-                if held is None:
-                    if len(parts_of) > 200_000:
-                        parts_of.clear()
-                    held = parts_of[word] = _parts(word)
-                if len(body) - end < 12 and not finished and not _WORD.search(body, end):
-                    last[(*place, _marks(body[end:]))] += 1  # the very end of a text proves nothing about lines
-                    continue
-                seen[place] += 1
-                seen[near] += 1
-                if over:
-                    ends[(*place, tail)] += 1
-                    ends[(*near, tail)] += 1
-            if held:
-                words.update(held if finished else held[:-1])
-            if len(seen) > 400_000:
-                yield flush()
-    yield flush()
+            if finished:
+                behind.append((closing, True))
+                words.update(found)
+            else:  # the very end of a text proves nothing about lines and words
+                finals.append((table, mine[-2] if len(mine) > 1 else 0, mine_gap[-1], mine[-1], closing))
+                words.update(found if between[-1] else found[:-1])
+                mine.pop()
+                mine_gap.pop()
+            if mine:
+                shape += mine
+                before.append(0)
+                before += mine[:-1]
+                gap += mine_gap
+                tail += [t for t, _ in behind]
+                over += [o for _, o in behind]
+                tables.append(table)
+                lengths.append(len(mine))
+            if "\n- " in body or "\n* " in body:
+                for item in _LIST_ITEM.findall(body if finished else body.rpartition("\n")[0]):
+                    n = len(_WORD.findall(item))
+                    items += [(table, k, k == n) for k in range(1, n + 1)]
+        vocabulary: Counter = Counter()
+        for word, n in words.items():
+            for part in _parts(word):
+                vocabulary[part] += n
+        yield pd.DataFrame({"word": list(vocabulary), "place": 0, "n": list(vocabulary.values()), "ends": 0, "final": 0})
+        t, b, g, s, e = np.repeat(_u64(tables), lengths), _u64(before), _u64(gap), _u64(shape), _u64(tail)
+        ended = np.array(over, dtype=bool)
+        place, near = _mixed(t, b, g, s), _mixed(t, g, s)
+        yield counted(place, "n")
+        yield counted(near, "n")
+        yield counted(_mixed(place.view(np.uint64), e)[ended], "ends")
+        yield counted(_mixed(near.view(np.uint64), e)[ended], "ends")
+        if finals:
+            t, b, g, s, e = (_u64(list(c)) for c in zip(*finals))
+            yield counted(_mixed(_mixed(t, b, g, s).view(np.uint64), e), "final")
+        if items:
+            t, k, o = zip(*items)
+            place = _mixed(_u64(list(t)), np.full(len(t), _ITEM, dtype=np.uint64), _u64(list(k)))
+            yield counted(place, "n")
+            done = place[np.array(o)]
+            yield counted(_mixed(done.view(np.uint64), np.full(len(done), _code(""), dtype=np.uint64)), "ends")
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = [c.split()[0] for c in _FEATURES.split(", ")][:-4]
     for pdf in batches:
-        rows = []
+        rows, codes, items = [], [], []
         for tbl, row, source, text, code in zip(pdf["tbl"], pdf["row_id"], pdf["source"], pdf["text"], pdf["code"]):
             body = text.rstrip()
             newline = "\n" in text[len(body) :]
-            part, keys, closed, sentence = "", (0, 0, 0, 0), False, False
-            begin = max(0, len(body) - 400)
+            part, closed, sentence, number, keys = "", False, False, 0, (0, 0, 0, 0, 0)
+            begin = max(0, len(body) - 300)
             begin = max(begin, body.find(" ", begin)) if begin else 0
-            at_end = None
-            for at_end in _places(tbl, body, begin):
-                pass
-            if at_end:
-                word, end, place, near, _, _ = at_end
-                tail = _marks(body[end:])
-                keys = (_h(*place), _h(*place, tail), _h(*near), _h(*near, tail))
+            split = _WORD.split(body[begin:])
+            dots = bool(_DOTS.search(body[-4:]))
+            if len(split) > 1:
+                word, behind = split[-2], split[-1]
+                tail = _marks(behind)
+                before = _code(_shape(split[-4])) if len(split) > 3 else 0
+                keys = (_code(tbl), before, _code(_gap(split[-3])), _code(_shape(word)), _code(tail))
+                item = _LIST_ITEM.match(body, body.rfind("\n") + 1)
+                if item and not tail:
+                    number = len(_WORD.findall(item.group(1)))
                 closed = bool(tail) and tail[-1] in _CLOSED
-                dots = _DOTS.search(body)
-                sentence = bool(_SENTENCE_END.match(body[end:])) and not dots and not word[-1].isdigit()
+                sentence = bool(_SENTENCE_END.match(behind)) and not dots and not word[-1].isdigit()
                 if not tail:
                     found = _parts(word)
                     if found and word.lower().endswith(found[-1].lstrip("_")):
                         part = found[-1]
+            codes.append(keys)
+            items.append(number)
             rows.append((
-                tbl, row, source, len(text), len(text.encode("utf-8", "replace")), bool(_MARK.search(text)),
-                open_structure(_DOTS.sub("", body), code), newline, sentence, closed, part, *keys,
+                tbl, row, source, len(text), len(text) if text.isascii() else len(text.encode("utf-8", "replace")),
+                bool(_MARK.search(text[-100:])), open_structure(_DOTS.sub("", body) if dots else body, code), newline,
+                sentence, closed, part,
             ))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _FEATURES.split(", ")])
+        out = pd.DataFrame(rows, columns=columns)
+        if rows:
+            t, b, g, s, e = (_u64(list(c)) for c in zip(*codes))
+            number = _u64(items)
+            listed = _mixed(t, np.full(len(t), _ITEM, dtype=np.uint64), number)
+            place, near = (np.where(number > 0, listed, x) for x in (_mixed(t, b, g, s), _mixed(t, g, s)))
+            out["place"], out["near"] = place, near
+            out["place_end"], out["near_end"] = _mixed(place.view(np.uint64), e), _mixed(near.view(np.uint64), e)
+        else:
+            out[["place", "near", "place_end", "near_end"]] = 0
+        yield out[[c.split()[0] for c in _FEATURES.split(", ")]]
 
 
 _FEATURES = (
