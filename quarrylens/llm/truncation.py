@@ -176,11 +176,17 @@ class _Kept(dict):
         return value
 
 
-def _tail_code(text: str) -> tuple[int, bool]:
+def _tail_code(text: str) -> int:
+    """Code of the marks behind a word; odd where something ends there."""
     marks, over = _tail(text)
-    return _code(marks), over
+    return _code(marks) & ~1 | over
 
 
+# Kept for the life of a Python worker, which runs many tasks.
+_SHAPES = _Kept(lambda word: _code(_shape(word)))
+_GAPS = _Kept(lambda gap: _code(_gap(gap)))
+_TAILS = _Kept(_tail_code)
+_PARTS = _Kept(_parts)
 _ITEM = _code("list item")
 
 
@@ -194,10 +200,6 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     A text is split into words and what stands between them; both become codes, and the places of all words of the
     batch are mixed and counted as arrays.
     """
-    shapes = _Kept(lambda w: _code(_shape(w)))
-    gaps = _Kept(lambda g: _code(_gap(g)))
-    tails = _Kept(_tail_code)
-
     def counted(keys: np.ndarray, column: str) -> pd.DataFrame:
         place, n = np.unique(keys, return_counts=True)
         frame = pd.DataFrame({"word": None, "place": place, "n": 0, "ends": 0, "final": 0})
@@ -206,7 +208,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for pdf in batches:
         words: Counter = Counter()
-        shape, before, gap, tail, over, tables, lengths = [], [], [], [], [], [], []
+        shape, before, gap, tail, tables, lengths = [], [], [], [], [], []
         finals, items = [], []
         for tbl, text in zip(pdf["tbl"], pdf["text"]):
             body = text.rstrip()
@@ -215,13 +217,13 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not found:
                 continue
             table = _code(tbl)
-            mine = [shapes[w] for w in found]
-            mine_gap = [gaps[g] for g in between[:-1]]
-            behind = [tails[g] for g in between[1:-1]]
-            closing = _code(_marks(between[-1]))
+            mine = [_SHAPES[w] for w in found]
+            mine_gap = [_GAPS[g] for g in between[:-1]]
+            behind = [_TAILS[g] for g in between[1:-1]]
+            closing = _code(_marks(between[-1])) & ~1
             finished = "\n" in text[len(body) :]
             if finished:
-                behind.append((closing, True))
+                behind.append(closing | 1)
                 words.update(found)
             else:  # the very end of a text proves nothing about lines and words
                 finals.append((table, mine[-2] if len(mine) > 1 else 0, mine_gap[-1], mine[-1], closing))
@@ -233,8 +235,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 before.append(0)
                 before += mine[:-1]
                 gap += mine_gap
-                tail += [t for t, _ in behind]
-                over += [o for _, o in behind]
+                tail += behind
                 tables.append(table)
                 lengths.append(len(mine))
             if "\n- " in body or "\n* " in body:
@@ -243,11 +244,12 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     items += [(table, k, k == n) for k in range(1, n + 1)]
         vocabulary: Counter = Counter()
         for word, n in words.items():
-            for part in _parts(word):
+            for part in _PARTS[word]:
                 vocabulary[part] += n
         yield pd.DataFrame({"word": list(vocabulary), "place": 0, "n": list(vocabulary.values()), "ends": 0, "final": 0})
         t, b, g, s, e = np.repeat(_u64(tables), lengths), _u64(before), _u64(gap), _u64(shape), _u64(tail)
-        ended = np.array(over, dtype=bool)
+        ended = (e & np.uint64(1)).astype(bool)
+        e = e & ~np.uint64(1)
         place, near = _mixed(t, b, g, s), _mixed(t, g, s)
         yield counted(place, "n")
         yield counted(near, "n")
@@ -261,7 +263,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             place = _mixed(_u64(list(t)), np.full(len(t), _ITEM, dtype=np.uint64), _u64(list(k)))
             yield counted(place, "n")
             done = place[np.array(o)]
-            yield counted(_mixed(done.view(np.uint64), np.full(len(done), _code(""), dtype=np.uint64)), "ends")
+            yield counted(_mixed(done.view(np.uint64), np.full(len(done), _code("") & ~1, dtype=np.uint64)), "ends")
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -280,7 +282,7 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 word, behind = split[-2], split[-1]
                 tail = _marks(behind)
                 before = _code(_shape(split[-4])) if len(split) > 3 else 0
-                keys = (_code(tbl), before, _code(_gap(split[-3])), _code(_shape(word)), _code(tail))
+                keys = (_code(tbl), before, _code(_gap(split[-3])), _code(_shape(word)), _code(tail) & ~1)
                 item = _LIST_ITEM.match(body, body.rfind("\n") + 1)
                 if item and not tail:
                     number = len(_WORD.findall(item.group(1)))
