@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import leakage, neardup, secrets, splitting, truncation
+from quarrylens.llm import leakage, neardup, provenance, secrets, splitting, truncation
 from quarrylens.session import table
 
 
@@ -62,6 +62,23 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     return secrets.redact_secrets(_code(spark, d))
 
 
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    nodes = table(spark, d, "nodes").select(F.lit("nodes").alias("tbl"), "repo", F.col("file").alias("file_path"), "code")
+    return nodes.unionByName(table(spark, d, "func_nodes").select(F.lit("func_nodes").alias("tbl"), "repo", "file_path", "code"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.judge_files(_files(spark, d)).select("tbl", "repo", "file_path")
+
+
+def p4_hand_written(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of hand-written files, with their table and repo."""
+    files = _files(spark, d).where("file_path is not null")
+    odd = p4_found(spark, d).select(F.col("tbl").alias("t"), F.col("repo").alias("r"), F.col("file_path").alias("p"))
+    kept = files.join(odd, (F.col("tbl") == F.col("t")) & F.col("repo").eqNullSafe(F.col("r")) & (F.col("file_path") == F.col("p")), "left_anti")
+    return kept.groupBy("tbl", "repo", "file_path").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("code")).alias("chars"))
+
+
 def _sized(spark: SparkSession, d: str) -> DataFrame:
     nodes = table(spark, d, "nodes").select(F.lit("nodes").alias("tbl"), F.col("id").alias("row_id"), F.col("code").alias("text"))
     chunks = table(spark, d, "code_chunks").select(
@@ -92,6 +109,7 @@ QUERIES = {
     "p1_found": p1_found, "p1_shares": p1_shares,
     "p2_found": p2_found, "p2_groups": p2_groups,
     "p3_found": p3_found, "p3_redacted": p3_redacted,
+    "p4_found": p4_found, "p4_hand_written": p4_hand_written,
     "p5_found": p5_found, "p5_pieces": p5_pieces,
     "p6_found": p6_found, "p6_items": p6_items,
 }
