@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import leakage, neardup, provenance, secrets, splitting, truncation
+from quarrylens.llm import abuse, leakage, neardup, provenance, secrets, splitting, truncation
 from quarrylens.session import table
 
 
@@ -105,6 +105,18 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(leakage.leaks(table(spark, d, "documents"), items), items)
 
 
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.score_documents(table(spark, d, "documents")).select("doc_id", "score")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_scores(spark, d).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.source_rates(abuse.score_documents(table(spark, d, "documents")))
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_shares": p1_shares,
     "p2_found": p2_found, "p2_groups": p2_groups,
@@ -112,6 +124,7 @@ QUERIES = {
     "p4_found": p4_found, "p4_hand_written": p4_hand_written,
     "p5_found": p5_found, "p5_pieces": p5_pieces,
     "p6_found": p6_found, "p6_items": p6_items,
+    "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
 }
 
 ORACLE = {
