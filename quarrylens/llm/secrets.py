@@ -70,6 +70,8 @@ _PROMISING = re.compile(
     r"[A-Za-z0-9+/_-]*(?:[A-Za-z][^\sA-Za-z]{0,2}\d|\d[^\sA-Za-z]{0,2}[A-Za-z]|[a-z][A-Z][A-Z]|[A-Z][a-z][A-Z]|[a-z]{2}-[a-z]{3,}-[a-z]{2})"
 )
 _NAME_WORD = re.compile(r"(?i)pass|pwd|secret|token|api_?key|auth|kennwort|contrase|cred|hmac|sign|비밀|암호|clave|_pw\b|_key\b|deploykey")
+_NAME_HINTS = ("pass", "pwd", "pw", "secret", "token", "key", "auth", "login", "kennwort", "contrase", "cred", "hmac", "sign", "비밀", "암호", "clave", "bearer")
+_UNUSUAL = re.compile(r"[^a-z_./\s-]")
 _SNAKE = re.compile(r"(?:[a-z]+[./])*(?:[a-z]+(?:_[a-z]+)*(?:_?\d{1,4})?|[a-z]+(?:[A-Z][a-z]+)*\d{0,3})(?:\(\))?")
 _TOKENS = re.compile(r"-----BEGIN [A-Z0-9 ]+-----(?s:.+?)-----END [A-Z0-9 ]+-----|[A-Za-z0-9]+|\w+|\s+|.", re.DOTALL)
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+|[가-힣]+|[^\W\d_a-zA-Z]+")
@@ -234,30 +236,35 @@ def sequences(text: str) -> Iterator[tuple[list[str], int, list[list[int]], tupl
         if not free(a, b):
             continue
         begin = max(text.rfind("\n", 0, a) + 1, a - 200)
-        name, kind = target_of(text[begin:a])
-        if kind == "environment" or " " in value.strip() and _whole(value, name) and name_class(name) != "secret":
+        if not _PROMISING.search(value) and (" " in value or not _UNUSUAL.search(value) or not _NAME_WORD.search(text, begin, a)):
             continue
-        if not _PROMISING.search(value) and not (_NAME_WORD.search(text, begin, a) and re.search(r"[^\sa-z_.-]|^\S{6,}$", value)):
+        if _SNAKE.fullmatch(value):
             continue
-        if _SNAKE.fullmatch(value) and not _NAME_WORD.search(text, begin, a):
+        name, kind = target_of(text[begin:a])
+        if kind == "environment" or " " in value.strip() and _whole(value, name) and name_class(name) != "secret":
             continue
         seen.append((a, b))
         yield from _sequence(text, a, b, name, kind)
     frames = frames + seen
-    for m in _PLAIN.finditer(text):
-        value = m.group(2)
-        if value[0] in "=:" or not free(*m.span(2)):
-            continue
-        known = value.startswith(PREFIXES)
-        if (known or _NAME_WORD.search(m.group(1)) or value[:6].lower() in ("bearer", "basic ", "token ")) and _PROMISING.search(value):
-            frames.append(m.span(2))
-            yield from _sequence(text, m.start(2), m.end(2), m.group(1).rsplit(".", 1)[-1], "plain")
-    for m in _REMARK.finditer(text) if "#" in text or "//" in text or "--" in text or "/*" in text else ():
-        if free(*m.span(2)) and _PROMISING.search(m.group(2)):
-            yield from _sequence(text, m.start(2), m.end(2), "password", "remark")
-    for m in _URL_LOGIN.finditer(text):
-        if free(*m.span()):
-            yield from _sequence(text, m.start(), m.end(), "", "plain")
+    low = text.lower()
+    named = any(k in low for k in _NAME_HINTS)
+    if named or any(p in text for p in PREFIXES):
+        for m in _PLAIN.finditer(text):
+            value = m.group(2)
+            if value[0] in "=:" or not free(*m.span(2)):
+                continue
+            known = value.startswith(PREFIXES)
+            if (known or _NAME_WORD.search(m.group(1)) or value[:6].lower() in ("bearer", "basic ", "token ")) and _PROMISING.search(value):
+                frames.append(m.span(2))
+                yield from _sequence(text, m.start(2), m.end(2), m.group(1).rsplit(".", 1)[-1], "plain")
+    if named and ("#" in text or "//" in text or "--" in text or "/*" in text):
+        for m in _REMARK.finditer(text):
+            if free(*m.span(2)) and _PROMISING.search(m.group(2)):
+                yield from _sequence(text, m.start(2), m.end(2), "password", "remark")
+    if "://" in text:
+        for m in _URL_LOGIN.finditer(text):
+            if free(*m.span()):
+                yield from _sequence(text, m.start(), m.end(), "", "plain")
 
 
 def _sequence(text: str, a: int, b: int, name: str, kind: str):
