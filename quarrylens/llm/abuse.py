@@ -121,6 +121,8 @@ PHRASES = """
 1.0 hot xxx
 1.0 uncensored adult
 1.0 adult videos
+1.0 porn clips
+1.0 free porn
 1.0 lap naked
 1.0 wearing under shirt
 1.0 take it off for me
@@ -197,8 +199,8 @@ _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t
 _INVISIBLE = re.compile("[­᠎​-‏‪-‮⁠-⁤﻿︀-️]|[̀-ͯ](?=[̀-ͯ])")
 _SPLIT = re.compile(r"[\r\n]+|(?<=[.!?…。])\s+|\s+(?=#|//)|^\s*>+\s?", re.MULTILINE)
 _SPEAKER = re.compile(r"^\s*(?:>+\s*)?(?:\[\d{1,2}:\d{2}\]\s*)?[\w.-]{2,24}:\s+(?=\S)")
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][.\-_·* ]){2,}[^\W\d_](?![^\W_])")
-_SPACED_HINT = re.compile(r"\b[^\W\d_][.\-_·*][^\W\d_][.\-_·*]")
+_SPACED = re.compile(r"(?<![^\W_])(?:(?:[^\W\d_][.\-_·*]){2,}|(?:[^\W\d_] ){3,})[^\W\d_](?![^\W_])")
+_SPACED_HINT = re.compile(r"\b[^\W\d_][.\-_·* ][^\W\d_][.\-_·* ]")
 _DISGUISE = re.compile(r"[0-9@$!|€'’*]")
 _WORD = re.compile(r"[^\W_]+(?:[*@$!|€'’]+[^\W_]+)*[*]*|[*]*[^\W_]+", re.UNICODE)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,80}>")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import abuse, leakage, neardup, provenance, secrets, splitting, truncation
+from quarrylens.llm import abuse, leakage, mixing, neardup, provenance, secrets, splitting, truncation
 from quarrylens.session import table
 
 
@@ -105,6 +105,18 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(leakage.leaks(table(spark, d, "documents"), items), items)
 
 
+def _mixture(spark: SparkSession, d: str) -> mixing.Mixture:
+    return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).chosen().select("doc_id", "source", "tokens", "repeats")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).shares()
+
+
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
     return abuse.score_documents(table(spark, d, "documents")).select("doc_id", "score")
 
@@ -124,6 +136,7 @@ QUERIES = {
     "p4_found": p4_found, "p4_hand_written": p4_hand_written,
     "p5_found": p5_found, "p5_pieces": p5_pieces,
     "p6_found": p6_found, "p6_items": p6_items,
+    "p7_mix": p7_mix, "p7_shares": p7_shares,
     "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
 }
 
