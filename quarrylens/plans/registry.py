@@ -1,4 +1,6 @@
 """All queries of the core library and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from quarrylens.plans import code_queries
+
+QUERIES: dict = code_queries.QUERIES
+ORACLE: dict = code_queries.ORACLE
