@@ -1,6 +1,7 @@
 """All queries of the core library and their SQL."""
 
-from quarrylens.plans import code_queries
+from quarrylens.plans import code_queries, graph_queries
 
-QUERIES: dict = code_queries.QUERIES
-ORACLE: dict = code_queries.ORACLE
+_PARTS = (code_queries, graph_queries)
+QUERIES: dict = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+ORACLE: dict = {k: v for part in _PARTS for k, v in part.ORACLE.items()}
