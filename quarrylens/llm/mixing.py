@@ -116,7 +116,7 @@ class Mixture:
         self.caps = np.array([r.max_repeats for r in wanted], dtype=float)
         src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.trim("source")).alias("source"), "text").where(F.length("text") > 0)
         made = src.mapInPandas(_prepared(tokenizer, self.sources), "doc_id long, domain int, tokens long, text string")
-        counted = made.where("tokens > 0")
+        counted = made.where((F.col("tokens") > 0) & F.lit(bool(self.sources)))
         self.documents = cut_lineage(self._membership(counted))
         self.totals = self._totals()
         allowed = self.totals * self.caps

@@ -140,11 +140,27 @@ QUERIES = {
     "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
 }
 
+_WORDS = "regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+')"
+_RUNS = "list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i : i + {k} - 1], ' '))"
+
 ORACLE = {
+    "p2_found": f"""
+        WITH w AS (SELECT vuln_id, {_WORDS.format(c="concat_ws(' ', coalesce(description, ''), coalesce(root_cause, ''), coalesce(affected_file, ''))")} AS w FROM vulns),
+        s AS (SELECT DISTINCT vuln_id, unnest({_RUNS.format(k=3)}) AS s FROM w WHERE len(w) >= 3),
+        n AS (SELECT vuln_id, count(*) AS n FROM s GROUP BY 1),
+        c AS (SELECT a.vuln_id AS a, b.vuln_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.vuln_id < b.vuln_id GROUP BY 1, 2)
+        SELECT a AS vuln_id_a, b AS vuln_id_b FROM c JOIN n x ON x.vuln_id = a JOIN n y ON y.vuln_id = b WHERE c >= 0.6 * (x.n + y.n - c)
+    """,
     "p5_found": """
         SELECT t.tbl, t.row_id FROM (
             SELECT 'nodes' AS tbl, id AS row_id, code FROM nodes
             UNION ALL SELECT 'code_chunks', chunk_id, code FROM code_chunks
         ) t JOIN size_limits l ON l.tbl = t.tbl WHERE length(t.code) > l.max_chars
     """,
+    "p6_found": f"""
+        WITH d AS (SELECT doc_id, {_WORDS.format(c='text')} AS w FROM documents), i AS (SELECT item_id, {_WORDS.format(c='text')} AS w FROM holdout_items),
+        dr AS (SELECT DISTINCT doc_id, unnest({_RUNS.format(k=12)}) AS run FROM d WHERE len(w) >= 12),
+        ir AS (SELECT DISTINCT item_id, unnest({_RUNS.format(k=12)}) AS run FROM i WHERE len(w) >= 12)
+        SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (run)
+    """,
 }
