@@ -53,7 +53,7 @@ def cut_points(text: str, limit: int, overlap: int, fill: float = 0.5) -> list[t
     arrays = boundaries(text)
     spans, start = [], 0
     while n - start > limit:
-        floor, end = start + (overlap if start else 0), 0
+        floor, end = start + overlap, 0  # a piece must end past the overlap, or the next one wouldn't move on
         for rank, ends in enumerate(arrays):
             at = int(np.searchsorted(ends, start + limit, side="right")) - 1
             least = max(floor + 1, start + int(limit * fill)) if rank < 3 else floor + 1
