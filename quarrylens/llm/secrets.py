@@ -59,7 +59,7 @@ _LITERAL = re.compile(
     r"""(?<!\w)[bBrRfFuU]{0,2}(?:\"""|'''|"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`((?:[^`\\\n]|\\.)*)`)"""
 )
 _PLAIN = re.compile(
-    r"""(?<![\w"'`.])(?:--)?([A-Za-z_][\w.-]*|[가-힣]+)(?:\s*[:=]\s*|\s+(?=\S{8}))(?![A-Za-z_][\w.-]*[:=]\S)((?:(?:[Bb]earer|[Bb]asic|[Tt]oken)\s+)?[^\s"'`,;(){}\[\]<>]{8,})(?![\w(\[])"""
+    r"""(?<![\w.])(?:--)?([A-Za-z_][\w.-]*|[가-힣]+)(?:\s*[:=]\s*|\s+(?=\S{8}))(?![A-Za-z_][\w.-]*[:=]\S)((?:(?:[Bb]earer|[Bb]asic|[Tt]oken)\s+)?[^\s"'`,;(){}\[\]<>]{8,})(?![\w(\[])"""
 )
 _REMARK = re.compile(
     r"""(?:#|//|--|/\*)[^\n]{0,200}?\b(pass(?:word|wd|wort|phrase)?|pw|pwd|secret|token|key|login|creds?|kennwort|contraseña|비밀번호)\b(?:[^\w\n]+[a-z]{1,6}){0,2}?[^\w\n]+(?![A-Za-z_][\w.-]*[:=]\S)([^\s"'`,;(){}\[\]<>]{8,})""",
