@@ -23,6 +23,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -203,6 +204,7 @@ _SPACED = re.compile(r"(?<![^\W_])(?:(?:[^\W\d_][.\-_·*]){2,}|(?:[^\W\d_] ){3,}
 _SPACED_HINT = re.compile(r"\b[^\W\d_][.\-_·* ][^\W\d_][.\-_·* ]")
 _DISGUISE = re.compile(r"[0-9@$!|€'’*]")
 _WORD = re.compile(r"[^\W_]+(?:[*@$!|€'’]+[^\W_]+)*[*]*|[*]*[^\W_]+", re.UNICODE)
+_LETTERS = re.compile(r"[^\W\d_]{4,24}")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,80}>")
 _CODE_SPAN = re.compile(r"`[^`\n]*`")
 _WRONG = re.compile("[Â-ôŒ-Ÿ–-›€™ƒ][\u0080-¿Œ-Ÿƒˆ˜–-›€™]")
@@ -423,27 +425,26 @@ def ordinary_words(docs: DataFrame, share: float = 0.0005, least: int = 4) -> fr
     the share, whatever the number of documents.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = Lexicon()
-        near: dict[str, bool] = {}
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            counts: dict[str, int] = {}
+            counts: Counter = Counter()
             for text in pdf["text"]:
-                for w in set(re.findall(r"[^\W\d_]{4,}", unmask(text).lower())):
-                    close = near.get(w)
-                    if close is None:
-                        plain = canonical(w)
-                        close = near[w] = not lexicon.trie.near(plain, 0) and bool(lexicon.fuzzy(w, plain))
-                        if len(near) > 500_000:
-                            near.clear()
-                    if close:
-                        counts[w] = counts.get(w, 0) + 1
+                counts.update(set(_LETTERS.findall(unmask(text).lower())))
             yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
 
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon = Lexicon()
+        for pdf in batches:
+            keep = []
+            for w in pdf["word"]:
+                plain = canonical(w)
+                keep.append(not lexicon.trie.near(plain, 0) and bool(lexicon.fuzzy(w, plain)))
+            yield pdf[keep]
+
     texts = docs.select("text").where(F.length("text") > 0)
-    counted = texts.mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     enough = max(least, int(texts.count() * share))
-    return frozenset(r.word for r in counted.where(F.col("n") >= enough).select("word").collect())
+    common = texts.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= enough)
+    return frozenset(r.word for r in common.select("word").mapInPandas(close, "word string").collect())
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
