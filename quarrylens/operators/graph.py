@@ -40,21 +40,38 @@ def owners(points: DataFrame, spans: DataFrame, key: str, line: str, start: str,
     return both.withColumn("r", rank).where("r = 1").drop("r")
 
 
+def _towards(edges: DataFrame, sinks: DataFrame, hops: int) -> DataFrame:
+    """The edges whose end is at most ``hops`` calls from a sink, with that number as ``togo``: a search backwards from all sinks at once."""
+    front = cut_lineage(sinks.select(F.col("id").alias("dst")).distinct().withColumn("togo", F.lit(0)))
+    reach = front
+    for togo in range(1, hops + 1):
+        before = edges.join(front.select("dst"), "dst").select(F.col("src").alias("dst")).distinct()
+        front = cut_lineage(before.join(reach, "dst", "left_anti").withColumn("togo", F.lit(togo)))
+        if front.isEmpty():
+            break
+        reach = reach.unionByName(front)
+    return cut_lineage(edges.join(reach, "dst").select("src", "dst", "togo"))
+
+
 def paths(edges: DataFrame, entries: DataFrame, sinks: DataFrame, *, max_nodes: int = 5, stop_at_sink: bool = False,
-          keep: str = "shortest") -> DataFrame:
+          keep: str = "shortest", ahead: bool = False) -> DataFrame:
     """entry, sink, depth, path (ids joined with ``>``) of bounded simple paths from entries to sinks.
 
     A frontier is joined with the edges hop by hop; its lineage is cut each hop. With ``shortest`` a node is visited once
     per entry, by its smallest path (an anti-join against what the entry has seen), so the work is bounded by entries times
-    nodes; with ``all`` every simple path is kept and ``max_nodes`` bounds the depth.
+    nodes; with ``all`` every simple path is kept and ``max_nodes`` bounds the depth. ``ahead`` follows only nodes from which a sink
+    can still be reached within the bound; it loses no path, and deep searches need it.
     """
     key = lambda c: F.lpad(F.col(c).cast("string"), 12, "0")
     frontier = cut_lineage(entries.select(F.col("id").alias("entry"), F.col("id").alias("node"), F.array(key("id")).alias("path")).distinct())
     seen = frontier.select("entry", "node")
     found = None
     marks = sinks.select(F.col("id").alias("node")).distinct()
+    if ahead:
+        edges = _towards(edges, sinks, max_nodes - 2)
     for depth in range(2, max_nodes + 1):
-        hop = frontier.join(edges, frontier.node == edges.src).where(~F.array_contains("path", key("dst"))).select(
+        calls = edges.where(F.col("togo") <= max_nodes - depth) if ahead else edges
+        hop = frontier.join(calls, frontier.node == calls.src).where(~F.array_contains("path", key("dst"))).select(
             "entry", F.col("dst").alias("node"), F.concat("path", F.array(key("dst"))).alias("path")
         )
         if keep == "shortest":

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylens.operators import funnel, graph
+from quarrylens.plans import graph_queries
+from quarrylens.session import table
 
 NAMES = {1: "handle_a", 2: "handle_b", 3: "helper", 4: "check_permission", 5: "run_query", 6: "write_log", 7: "loop_x", 8: "alt"}
 CALLS = [(1, 3), (1, 4), (2, 3), (2, 8), (3, 5), (8, 5), (5, 6), (3, 7), (7, 3)]
@@ -78,3 +80,37 @@ def test_resolution_policies(spark):
     edges = spark.createDataFrame([(1, "b"), (1, "b"), (1, None), (1, "a")], "caller_id long, callee_name string")
     assert [tuple(r) for r in graph.resolve(nodes, edges, "first").collect()] == [(1, 2)]
     assert [tuple(r) for r in graph.resolve(nodes, edges, "last").collect()] == [(1, 3)]
+
+
+def search(spark, sf_dir):
+    """Callees, entries and sinks of the stored graph, resolved in plain Python."""
+    first, out = {}, {}
+    for r in table(spark, sf_dir, "nodes").select("id", "name").collect():
+        if r.name:
+            first[r.name] = min(first.get(r.name, r.id), r.id)
+    for r in table(spark, sf_dir, "edges").select("caller_id", "callee_name").collect():
+        if r.callee_name in first and first[r.callee_name] != r.caller_id:
+            out.setdefault(r.caller_id, set()).add(first[r.callee_name])
+    entries, sinks = ({r.id for r in table(spark, sf_dir, "nodes").where(c).collect()} for c in ("is_entry", "is_sink"))
+    return out, entries, sinks
+
+
+def text(path):
+    return ">".join(str(n).zfill(12) for n in path)
+
+
+def test_first_sink_to_nine_nodes(spark, sf_dir):
+    out, entries, sinks = search(spark, sf_dir)
+    want = {}
+    for entry in entries:
+        seen, front = {entry}, [(entry,)]
+        for depth in range(2, 10):
+            best = {}
+            for p in front:
+                for n in out.get(p[-1], set()) - seen:
+                    best[n] = min(best.get(n, p + (n,)), p + (n,))
+            seen |= set(best)
+            want |= {(entry, n): (depth, text(p)) for n, p in best.items() if n in sinks}
+            front = [p for n, p in best.items() if n not in sinks]
+    got = {(r.entry, r.sink): (r.depth, r.path) for r in graph_queries.QUERIES["paths_to_first_sink_full"](spark, sf_dir).collect()}
+    assert got == want and max(depth for depth, _ in got.values()) == 9
