@@ -177,17 +177,36 @@ _GUARDS = f"""guards AS (SELECT DISTINCT m.path, e.callee_name AS guard FROM (SE
       JOIN edges e ON e.caller_id = m.node WHERE {_GUARD})"""
 
 
-def _with_guards(spark: SparkSession, d: str):
-    found = cut_lineage(_paths(spark, d, max_nodes=5, keep="all").select("entry", "sink", "path").distinct())
+def _with_guards(spark: SparkSession, d: str, **options):
+    found = cut_lineage(_paths(spark, d, **({"max_nodes": 5, "keep": "all"} | options)).select("entry", "sink", "path").distinct())
     guards = graph.guards_of(found, table(spark, d, "edges"), F.lower("callee_name").rlike(dims.GUARD_STEMS))
     return found, cut_lineage(guards)
 
 
+#: The reference's bound for comparisons: ten calls, eleven nodes.
+_FULL = {"max_nodes": 11, "keep": "all", "ahead": True}
+
+
+@query()
+def paths_all_full(spark: SparkSession, d: str) -> DataFrame:
+    """paths_all to eleven nodes."""
+    return _paths(spark, d, **_FULL)
+
+
+def _names(guards: DataFrame) -> DataFrame:
+    return guards.groupBy("path").agg(F.count(F.lit(1)).alias("guards"), F.array_join(F.array_sort(F.collect_set("guard")), ",").alias("names"))
+
+
 @query(f"WITH {_PATHS}, {_GUARDS} SELECT path, count(DISTINCT guard) AS guards, string_agg(DISTINCT guard, ',' ORDER BY guard) AS names FROM guards GROUP BY 1")
 def path_guards(spark: SparkSession, d: str) -> DataFrame:
     """Guards called by any node of each path."""
-    _, guards = _with_guards(spark, d)
-    return guards.groupBy("path").agg(F.count(F.lit(1)).alias("guards"), F.array_join(F.array_sort(F.collect_set("guard")), ",").alias("names"))
+    return _names(_with_guards(spark, d)[1])
+
+
+@query()
+def path_guards_full(spark: SparkSession, d: str) -> DataFrame:
+    """path_guards to eleven nodes."""
+    return _names(_with_guards(spark, d, **_FULL)[1])
 
 
 @query(f"""WITH {_PATHS}, {_GUARDS},
@@ -202,12 +221,13 @@ def compare_siblings(spark: SparkSession, d: str) -> DataFrame:
     return graph.compare_siblings(*_with_guards(spark, d))
 
 
-@query(f"""WITH {_PATHS}, {_GUARDS},
-    member AS (SELECT DISTINCT path FROM (SELECT path, unnest(string_split(path, '>'))::BIGINT AS node FROM paths) m JOIN nodes n ON n.id = m.node WHERE n.is_gate)
-    SELECT entry, sink, path, CASE WHEN path IN (SELECT path FROM member) THEN 'gate on the path' WHEN path IN (SELECT path FROM guards) THEN 'guard called' ELSE 'survives' END AS verdict FROM paths""")
-def rebut_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Paths rejected because a gate lies on them or a guard is called beside them; the others survive."""
-    found, guards = _with_guards(spark, d)
+@query()
+def compare_siblings_full(spark: SparkSession, d: str) -> DataFrame:
+    """compare_siblings to eleven nodes."""
+    return graph.compare_siblings(*_with_guards(spark, d, **_FULL))
+
+
+def _verdicts(spark: SparkSession, d: str, found: DataFrame, guards: DataFrame) -> DataFrame:
     gates = table(spark, d, "nodes").where("is_gate").select(F.col("id").alias("node"))
     member = graph.path_nodes(found).join(gates, "node", "left_semi").select("path").distinct().withColumn("member", F.lit(True))
     called = guards.select("path").distinct().withColumn("called", F.lit(True))
@@ -215,6 +235,20 @@ def rebut_paths(spark: SparkSession, d: str) -> DataFrame:
     return found.join(member, "path", "left").join(called, "path", "left").select("entry", "sink", "path", verdict.alias("verdict"))
 
 
+@query(f"""WITH {_PATHS}, {_GUARDS},
+    member AS (SELECT DISTINCT path FROM (SELECT path, unnest(string_split(path, '>'))::BIGINT AS node FROM paths) m JOIN nodes n ON n.id = m.node WHERE n.is_gate)
+    SELECT entry, sink, path, CASE WHEN path IN (SELECT path FROM member) THEN 'gate on the path' WHEN path IN (SELECT path FROM guards) THEN 'guard called' ELSE 'survives' END AS verdict FROM paths""")
+def rebut_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths rejected because a gate lies on them or a guard is called beside them; the others survive."""
+    return _verdicts(spark, d, *_with_guards(spark, d))
+
+
+@query()
+def rebut_paths_full(spark: SparkSession, d: str) -> DataFrame:
+    """rebut_paths to eleven nodes."""
+    return _verdicts(spark, d, *_with_guards(spark, d, **_FULL))
+
+
 @query(f"""WITH p AS ({_paths_sql(5, False)})
     SELECT kind, sink, path FROM (SELECT coalesce(nullif(n.sink_kind, ''), 'none') AS kind, p.sink, p.path,
       row_number() OVER (PARTITION BY coalesce(nullif(n.sink_kind, ''), 'none') ORDER BY p.depth, p.path) AS r FROM p JOIN nodes n ON n.id = p.sink) WHERE r = 1""")

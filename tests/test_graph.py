@@ -1,8 +1,11 @@
 """The four path policies on a small graph with a cycle and a diamond, and what follows from paths."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from quarrylens import dims
 from quarrylens.operators import funnel, graph
 from quarrylens.plans import graph_queries
 from quarrylens.session import table
@@ -114,3 +117,28 @@ def test_first_sink_to_nine_nodes(spark, sf_dir):
             front = [p for n, p in best.items() if n not in sinks]
     got = {(r.entry, r.sink): (r.depth, r.path) for r in graph_queries.QUERIES["paths_to_first_sink_full"](spark, sf_dir).collect()}
     assert got == want and max(depth for depth, _ in got.values()) == 9
+
+
+def test_comparison_to_eleven_nodes(spark, sf_dir):
+    out, entries, sinks = search(spark, sf_dir)
+    found, front = [], [(e,) for e in entries]
+    for _ in range(10):
+        front = [p + (n,) for p in front for n in out.get(p[-1], ()) if n not in p]
+        found += [p for p in front if p[-1] in sinks]
+    queries = graph_queries.QUERIES
+    assert sorted(r.path for r in queries["paths_all_full"](spark, sf_dir).collect()) == sorted(map(text, found))
+    called, gates = {}, {r.id for r in table(spark, sf_dir, "nodes").where("is_gate").collect()}
+    for r in table(spark, sf_dir, "edges").select("caller_id", "callee_name").collect():
+        if re.search(dims.GUARD_STEMS, (r.callee_name or "").lower()):
+            called.setdefault(r.caller_id, set()).add(r.callee_name)
+    guards = {p: set().union(*(called.get(n, set()) for n in p)) for p in found}
+    got = {r.path: r.names for r in queries["path_guards_full"](spark, sf_dir).collect()}
+    assert got == {text(p): ",".join(sorted(g)) for p, g in guards.items() if g}
+    wanted, paths = {}, {}
+    for p in found:
+        wanted.setdefault(p[-1], set()).update(guards[p])
+        paths.setdefault(p[-1], []).append(p)
+    want = {text(p): ",".join(sorted(wanted[p[-1]] - guards[p])) for p in found if len(paths[p[-1]]) > 1 and wanted[p[-1]] - guards[p]}
+    assert {r.path: r.missing for r in queries["compare_siblings_full"](spark, sf_dir).collect()} == want
+    verdicts = {text(p): "gate on the path" if gates & set(p) else "guard called" if guards[p] else "survives" for p in found}
+    assert {r.path: r.verdict for r in queries["rebut_paths_full"](spark, sf_dir).collect()} == verdicts
