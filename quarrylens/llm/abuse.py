@@ -10,8 +10,8 @@ themselves, what thing the word describes, and whether words about filters, list
 quotation of abuse still is abuse; a quoted single word is a mention. The score of a sentence is the sum of what its
 phrases and terms weigh in their contexts, that of a document 1 - prod(1 - s) over its sentences, in [0, 1].
 
-Every document is scored in a narrow map; the only shuffle before it counts words that look like entries, combined per batch, so
-that common words of the corpus are never taken for misspelt entries. Rates per source are pre-aggregated. Words are looked up once
+Every document is scored in a narrow map. Before it, words that look like entries are counted, combined per batch; the frequent ones
+weigh as the distinct texts that use them tell: fully where sentences with them are abusive, little where they are not. Rates per source are pre-aggregated. Words are looked up once
 per Python worker and remembered within bounds.
 
 Edge cases: null and empty texts score 0; repeated documents score alike; a null source is a source of its own; sources
@@ -27,6 +27,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -311,7 +312,7 @@ class Trie:
 
 
 class Lexicon:
-    def __init__(self, ordinary=()):
+    def __init__(self, weights=None):
         self.phrases = []
         terms = {*INSULTS, *SLURS, *ADDRESS, *GROUPS, *SELF, *MENTION, *THINGS}
         for line in PHRASES.split("\n"):
@@ -326,7 +327,9 @@ class Lexicon:
             self.first.setdefault(sequence[0], []).append((weight, sequence))
         # Only sentences with one of these words are looked at closely: insults, and of each phrase its longest word.
         self.telling = frozenset(INSULTS) | frozenset(SLURS) | {max(q, key=len) for _, q in self.phrases}
-        self.ordinary = ORDINARY | frozenset(ordinary)
+        #: Below 1 for words that may be no misspelt entry.
+        self.weights: dict[str, float] = weights or {}
+        self.never = ORDINARY | {w for w, x in self.weights.items() if x == 0}
         self.hot: set[str] = set()
         self.insults, self.slurs, self.address = frozenset(INSULTS), frozenset(SLURS), frozenset(ADDRESS)
         self.groups, self.self, self.mention, self.things = frozenset(GROUPS), frozenset(SELF), frozenset(MENTION), frozenset(THINGS)
@@ -351,12 +354,13 @@ class Lexicon:
 
     def fuzzy(self, word: str, plain: str) -> frozenset[str]:
         n = len(plain)
-        if word in self.ordinary or n < 4 or not word.isalpha():
+        if word in self.never or n < 4 or not word.isalpha():
             return frozenset()
         return frozenset(e for e in self.trie.near(plain, 2 if n >= 9 else 1) if len(canonical(e)) >= 4)
 
 
-def sentence_score(sentence: str, lexicon: Lexicon) -> float:
+def sentence_score(sentence: str, lexicon: Lexicon, by_itself: bool = True) -> float:
+    """Score of a sentence; without ``by_itself`` a word that stands alone tells nothing."""
     if re.search("[가-힣]", sentence):
         compact = re.sub(r"[^가-힣]", "", sentence)
         if any(all(p in compact for p in entry.split("+")) for entry in HANGUL) and not re.search("필터|규칙|단어|테스트에", compact):
@@ -368,25 +372,31 @@ def sentence_score(sentence: str, lexicon: Lexicon) -> float:
             lexicon.terms(w)
     if lexicon.hot.isdisjoint(words):
         return 0.0
-    hits = [lexicon.terms(w) for w in words]
+    found = [lexicon.terms(w) for w in words]
+    weights = [lexicon.weights.get(w, 1.0) for w in words]
+    # A word in doubt weighs less as a hit and is no context for others.
+    hits = [h if w == 1.0 else frozenset() for h, w in zip(found, weights)]
     n = len(words)
     score = 0.0
     for i in range(n):
-        for term in hits[i]:
+        for term in found[i]:
             for weight, sequence in lexicon.first.get(term, ()):
                 at = i
+                weight *= weights[i]
                 for nxt in sequence[1:]:
-                    at = next((k for k in range(at + 1, min(n, at + 1 + GAP)) if nxt in hits[k]), -1)
+                    at = next((k for k in range(at + 1, min(n, at + 1 + GAP)) if nxt in found[k]), -1)
                     if at < 0:
                         break
+                    weight *= weights[at]
                 else:
-                    score = max(score, weight)
+                    if by_itself or len(sequence) > 1:
+                        score = max(score, weight)
     # An insult weighs by whom it meets: someone addressed or a group, not the speaker or a thing.
     flat = frozenset().union(*hits)
     addressed = bool(flat & lexicon.address)
     group = bool(flat & lexicon.groups) or "old people" in bare.lower() or "people like you" in bare.lower()
     for i in range(n):
-        insult, slur = hits[i] & lexicon.insults, hits[i] & lexicon.slurs
+        insult, slur = found[i] & lexicon.insults, found[i] & lexicon.slurs
         if not insult and not slur:
             continue
         around = frozenset().union(*hits[max(0, i - 6) : i + 7])
@@ -397,12 +407,12 @@ def sentence_score(sentence: str, lexicon: Lexicon) -> float:
             weight = 0.9
         else:
             alone = n <= 4 or bool(frozenset().union(*hits[max(0, i - 2) : i]) & lexicon.slurs)
-            weight = 0.7 if alone else 0.2
+            weight = 0.7 if alone and by_itself else 0.2
         if around & lexicon.self and not around & lexicon.address:
             weight = min(weight, 0.2)
         if after & lexicon.things or (hits[i + 1] & lexicon.things if i + 1 < n else False):
             weight = min(weight, 0.1)
-        score += weight
+        score += weight * weights[i]
     if flat & lexicon.mention and not addressed and not group:
         score *= 0.3
     return min(1.0, score)
@@ -418,12 +428,8 @@ def document_score(text: str | None, lexicon: Lexicon) -> float:
     return 1.0 - left
 
 
-def ordinary_words(docs: DataFrame, share: float = 0.0005, least: int = 4) -> frozenset[str]:
-    """Words close to the lexicon, but no entries, that at least ``share`` of the documents have: words of the corpus.
-
-    A misspelling is rare, a word isn't. Counted over all documents; at most (words per document / share) words can reach
-    the share, whatever the number of documents.
-    """
+def near_words(texts: DataFrame, enough: int) -> frozenset[str]:
+    """Words close to the lexicon, but no entries, that at least ``enough`` documents have."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -441,18 +447,62 @@ def ordinary_words(docs: DataFrame, share: float = 0.0005, least: int = 4) -> fr
                 keep.append(not lexicon.trie.near(plain, 0) and bool(lexicon.fuzzy(w, plain)))
             yield pdf[keep]
 
-    texts = docs.select("text").where(F.length("text") > 0)
-    enough = max(least, int(texts.count() * share))
     common = texts.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= enough)
     return frozenset(r.word for r in common.select("word").mapInPandas(close, "word string").collect())
 
 
+def word_weights(docs: DataFrame, share: float = 0.0005, least: int = 4) -> dict[str, float]:
+    """Weights of the words close to the lexicon that at least ``share`` of the documents have.
+
+    Such a word may be one of the corpus or an insult often misspelt; its sentences tell. A text speaks for the entry if it has a
+    sentence that is abusive by its context with the word and isn't without it, and against it if its sentences with the word aren't abusive. The
+    weight is twice the share of texts that speak for it, 1 at most, and 1 if no text tells. Copies of a text count once: texts with
+    such words are known by the hash of what stands behind the masks, and only hash and words are exchanged.
+    """
+    texts = docs.select("text").where(F.length("text") > 0)
+    near = near_words(texts, max(least, int(texts.count() * share)))
+    if not near:
+        return {}
+
+    def use(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon = Lexicon()
+        for pdf in batches:
+            out = {}
+            for text in pdf["text"]:
+                plain = unmask(text)
+                words = near.intersection(_LETTERS.findall(plain.lower()))
+                key = xxhash.xxh3_64_intdigest(plain) - (1 << 63) if words else 0
+                if not words or key in out:
+                    continue
+                told: dict[str, bool] = {}
+                for s in sentences(text):
+                    inside = words.intersection(words_of(s))
+                    if not inside:
+                        continue
+                    lexicon.weights = {}
+                    abusive = sentence_score(s, lexicon, False) >= THRESHOLD
+                    for w in inside:
+                        lexicon.weights = {w: 0.0}
+                        if not abusive:
+                            told.setdefault(w, False)
+                        elif sentence_score(s, lexicon, False) < THRESHOLD:
+                            told[w] = True
+                out[key] = (key, list(told), list(told.values()))
+            yield pd.DataFrame(list(out.values()), columns=["key", "words", "told"])
+
+    used = texts.mapInPandas(use, "key long, words array<string>, told array<boolean>").dropDuplicates(["key"])
+    counts = used.select(F.explode(F.arrays_zip("words", "told")).alias("u")).groupBy(F.col("u.words").alias("word")).agg(
+        F.avg(F.col("u.told").cast("int")).alias("told")
+    )
+    return {r.word: min(1.0, 2.0 * r.told) for r in counts.collect()}
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, source, score for ``docs`` (doc_id, source, text)."""
-    ordinary = ordinary_words(docs)
+    weights = word_weights(docs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = Lexicon(ordinary)
+        lexicon = Lexicon(weights)
         for pdf in batches:
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"], "source": pdf["source"], "score": [round(document_score(t, lexicon), 4) for t in pdf["text"]],

@@ -54,3 +54,14 @@ def test_table(spark):
     rates = {r.source: r for r in abuse.source_rates(scored).collect()}
     assert rates["forum"].documents == 4 and rates["forum"].flagged == 2 and rates[None].flagged == 0
     assert abuse.score_documents(df.where("false")).count() == 0
+
+
+def test_copied_and_common_misspellings_stay_hits(spark):
+    rows = [(i, "forum", "You are a mroon, go away.") for i in range(30)]
+    rows += [(100 + i, "forum", f"You are such an idoit, number {i}.") for i in range(10)]
+    rows += [(200 + i, "chat", f"Batch {i} waits in the queue slot for a worker.") for i in range(60)]
+    rows += [(300, "chat", "You may keep the slot.")]
+    scores = {r.doc_id: r.score for r in abuse.score_documents(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert min(scores[i] for i in range(30)) >= abuse.THRESHOLD
+    assert min(scores[100 + i] for i in range(10)) >= abuse.THRESHOLD
+    assert max(s for i, s in scores.items() if i >= 200) < abuse.THRESHOLD
