@@ -155,7 +155,7 @@ PHRASES = """
 1.0 voy a matarte
 1.0 te voy a
 """
-# Hangul is matched without blanks and marks; all parts of an entry must stand in the sentence.
+# Hangul is matched by its letters, without blanks and marks; all parts of an entry must stand in the sentence.
 HANGUL = (
     "꺼져", "닥쳐", "새끼", "병신", "미친놈", "죽여버", "죽어라", "쓰레기+너", "쓰레기+같은", "한심한+바보", "멍청한+너", "바보+자식", "머리가나빠",
     "벌레같", "쫓아내야", "벗은사진", "야한동영상", "야한사진", "섹스", "씨발", "지랄", "찾아가서+때", "가만안둬", "손을부러",
@@ -186,6 +186,12 @@ ORDINARY = frozenset(
     "puta puts put tonto tanto pronto todo toda eres era ser ver tres te ti tu de la el basar basura base idioma idiomas inicial util inútiles".split()
 ) - frozenset("sick hell dead naked pics sex thick stupid dumb worthless pathetic useless puta basura tonto women woman gay".split())
 
+HANGUL_ADDRESS = ("너", "니가", "네가", "당신", "니들")
+HANGUL_MENTION = ("필터", "규칙", "단어", "테스트에")
+# Ordinary words one letter away from an entry: never taken for it.
+HANGUL_ORDINARY = frozenset("꺼졌 꺼진 커져 커졌 켜져 까져 거쳐 다쳐 닥친 닥칠 변신 병실 병진 새긴 새기 지날 자랄 바로 보고 주어라 적어라 줄여버 죽여 줄어라 섹션 시발점 한심 씨앗".split())
+HANGUL_WINDOW = 6  # words before and behind a hit, as for the other scripts
+
 THRESHOLD = 0.6
 GAP = 5  # a phrase's next word is at most so many words further on
 
@@ -310,6 +316,38 @@ class Trie:
         walk(self.root, list(range(len(word) + 1)), None, "")
         return found
 
+    def ends(self, text: str, at: int, most: int, deep: int = 99) -> dict[str, list[tuple[int, int]]]:
+        """Entries that begin at ``at`` in ``text``, with the ends and edits of what stands for them; what is still open
+        ``deep`` letters down counts as found under the empty name."""
+        found: dict[str, list[tuple[int, int]]] = {}
+        size = len(text) - at
+
+        def walk(node, depth, prefix_row):
+            for e in node.get("", ()):
+                found[e] = [(at + j, d) for j, d in prefix_row.items() if d <= most and j]
+            for c, child in node.items():
+                if c == "":
+                    continue
+                row = {}
+                for j in range(max(0, depth + 1 - most), min(size, depth + 1 + most) + 1):
+                    cost = min(prefix_row.get(j, 99) + 1, row.get(j - 1, 99) + 1)
+                    if j:
+                        cost = min(cost, prefix_row.get(j - 1, 99) + (text[at + j - 1] != c))
+                    row[j] = cost
+                if min(row.values(), default=99) <= most:
+                    if depth + 1 == deep:
+                        found[""] = []
+                    else:
+                        walk(child, depth + 1, row)
+
+        walk(self.root, 0, {j: j for j in range(min(size, most) + 1)})
+        return found
+
+
+def letters_of(word: str) -> str:
+    """Hangul syllables taken apart into their letters."""
+    return unicodedata.normalize("NFD", word)
+
 
 class Lexicon:
     def __init__(self, weights=None):
@@ -329,6 +367,15 @@ class Lexicon:
         self.telling = frozenset(INSULTS) | frozenset(SLURS) | {max(q, key=len) for _, q in self.phrases}
         #: Below 1 for words that may be no misspelt entry.
         self.weights: dict[str, float] = weights or {}
+        # By the edits allowed: as in other scripts one from four letters on, two from nine.
+        self.hangul = [Trie(()), Trie(()), Trie(())]
+        self.open: dict[str, bool] = {}
+        for part in {p for entry in HANGUL for p in entry.split("+")}:
+            letters = letters_of(part)
+            node = self.hangul[(len(letters) >= 4) + (len(letters) >= 9)].root
+            for c in letters:
+                node = node.setdefault(c, {})
+            node.setdefault("", []).append(part)
         self.never = ORDINARY | {w for w, x in self.weights.items() if x == 0}
         self.hot: set[str] = set()
         self.insults, self.slurs, self.address = frozenset(INSULTS), frozenset(SLURS), frozenset(ADDRESS)
@@ -352,6 +399,19 @@ class Lexicon:
                 self.hot.add(word)
         return hit
 
+    def parts(self, text: str, at: int) -> Iterator[tuple[str, int, int]]:
+        """Hangul parts that begin at ``at``: part, end, edits. Beginnings (four letters and two edits) without any are remembered."""
+        start = text[at : at + 6]
+        if start not in self.open:
+            if len(self.open) > 200_000:
+                self.open.clear()
+            self.open[start] = any(trie.ends(start, 0, most, 4) for most, trie in enumerate(self.hangul))
+        if self.open[start]:
+            for most, trie in enumerate(self.hangul):
+                for part, ends in trie.ends(text, at, most).items():
+                    for end, edits in ends:
+                        yield part, end, edits
+
     def fuzzy(self, word: str, plain: str) -> frozenset[str]:
         n = len(plain)
         if word in self.never or n < 4 or not word.isalpha():
@@ -359,11 +419,44 @@ class Lexicon:
         return frozenset(e for e in self.trie.near(plain, 2 if n >= 9 else 1) if len(canonical(e)) >= 4)
 
 
+def hangul_hit(sentence: str, lexicon: Lexicon) -> bool:
+    """An entry of Hangul outside a mere mention.
+
+    As in other scripts one letter may differ from four letters on, two from nine; each part begins and ends at a syllable. A mention word counts within the window around the hit, unless someone is addressed there.
+    """
+    words = [w for w in (re.sub(r"[^가-힣]", "", x) for x in sentence.split()) if w]
+    apart, starts, word_at = [], set(), []
+    for k, w in enumerate(words):
+        for syllable in w:
+            starts.add(len(word_at))
+            part = letters_of(syllable)
+            apart.append(part)
+            word_at += [k] * len(part)
+    text = "".join(apart)
+    starts.add(len(text))
+    spots: dict[str, list[tuple[int, int]]] = {}
+    for at in starts:
+        if at == len(text):
+            continue
+        for part, end, edits in lexicon.parts(text, at):
+            if end in starts and (edits == 0 or unicodedata.normalize("NFC", text[at:end]) not in HANGUL_ORDINARY):
+                spots.setdefault(part, []).append((word_at[at], word_at[end - 1]))
+    for entry in HANGUL:
+        parts = [spots.get(p) for p in entry.split("+")]
+        if not all(parts):
+            continue
+        for first, last in parts[0]:
+            around = words[max(0, first - HANGUL_WINDOW) : last + 1 + HANGUL_WINDOW]
+            mention = any(m in "".join(around) for m in HANGUL_MENTION)
+            if not mention or any(w.startswith(HANGUL_ADDRESS) for w in around):
+                return True
+    return False
+
+
 def sentence_score(sentence: str, lexicon: Lexicon, by_itself: bool = True) -> float:
     """Score of a sentence; without ``by_itself`` a word that stands alone tells nothing."""
     if re.search("[가-힣]", sentence):
-        compact = re.sub(r"[^가-힣]", "", sentence)
-        if any(all(p in compact for p in entry.split("+")) for entry in HANGUL) and not re.search("필터|규칙|단어|테스트에", compact):
+        if hangul_hit(sentence, lexicon):
             return 1.0
     bare = _CODE_SPAN.sub(" ", sentence) if "`" in sentence else sentence
     words = words_of(bare)

@@ -65,3 +65,15 @@ def test_copied_and_common_misspellings_stay_hits(spark):
     assert min(scores[i] for i in range(30)) >= abuse.THRESHOLD
     assert min(scores[100 + i] for i in range(10)) >= abuse.THRESHOLD
     assert max(s for i, s in scores.items() if i >= 200) < abuse.THRESHOLD
+
+
+@pytest.mark.parametrize("text", [
+    "너 같은 쓰레기는 꺼져라 이번 점검에서는 규칙을 다시 확인했다.", "너 같은 쓰래기는 필요 없다", "정말 한심헌 바보들이다", "꺼져 " + "우리는 오늘 회의에서 결과를 다시 보고 또 " * 2 + "규칙을 확인했다",
+])
+def test_hangul_letters_and_window(lexicon, text):
+    assert abuse.sentence_score(text, lexicon) >= abuse.THRESHOLD
+
+
+@pytest.mark.parametrize("text", ["필터는 병신 같은 단어를 막는다.", "이번 점검에서는 규칙을 다시 확인했다.", "바보 같은 실수였다."])
+def test_hangul_mentions(lexicon, text):
+    assert abuse.sentence_score(text, lexicon) < abuse.THRESHOLD
