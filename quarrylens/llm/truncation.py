@@ -297,7 +297,7 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows.append((
                 tbl, row, source, len(text), len(text) if text.isascii() else len(text.encode("utf-8", "replace")),
                 bool(_MARK.search(text[-100:])), open_structure(_DOTS.sub("", body) if dots else body, code), newline,
-                sentence, closed, part,
+                sentence, closed, part, xxhash.xxh3_64_intdigest(text) - (1 << 63),
             ))
         out = pd.DataFrame(rows, columns=columns)
         if rows:
@@ -314,7 +314,7 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 _FEATURES = (
     "tbl string, row_id long, source string, chars int, bytes int, mark boolean, open string, newline boolean, "
-    "sentence boolean, closed boolean, part string, place long, place_end long, near long, near_end long"
+    "sentence boolean, closed boolean, part string, hash long, place long, place_end long, near long, near_end long"
 )
 
 
@@ -326,18 +326,17 @@ def _by_source(column: str = "source"):
 
 
 def length_limits(rows: DataFrame, least: int = 100, spike: float = 8.0) -> DataFrame:
-    """tbl, by, limit_chars, limit_bytes: lengths that far more texts of a source have than its other lengths do."""
+    """tbl, by, unit, len: all lengths that far more distinct texts of a source have than its other lengths do."""
     units = F.map_from_arrays(F.array(F.lit("chars"), F.lit("bytes")), F.array("chars", "bytes"))
+    once = rows.select("tbl", _by_source().alias("by"), "chars", "bytes", "hash").distinct()
     each = (
-        rows.select("tbl", _by_source().alias("by"), F.explode(units).alias("unit", "len"))
+        once.select("tbl", "by", F.explode(units).alias("unit", "len"))
         .groupBy("tbl", "by", "unit", "len").agg(F.count(F.lit(1)).alias("n"))
     )
     usual = each.groupBy("tbl", "by", "unit").agg(F.avg("n").alias("usual"))
-    spikes = each.join(usual, ["tbl", "by", "unit"]).where(
+    return each.join(usual, ["tbl", "by", "unit"]).where(
         (F.col("len") > least) & (F.col("n") >= F.greatest(F.lit(5.0), F.col("usual") * spike))
-    )
-    of = lambda unit: F.max(F.when(F.col("unit") == unit, F.col("len")))
-    return spikes.groupBy("tbl", "by").agg(of("chars").alias("limit_chars"), of("bytes").alias("limit_bytes"))
+    ).select("tbl", "by", "unit", "len")
 
 
 def judge(values: DataFrame, *, rare: int = 5, known: int = 2, never: float = 0.01, seldom: float = 0.5,
@@ -359,7 +358,11 @@ def judge(values: DataFrame, *, rare: int = 5, known: int = 2, never: float = 0.
     # Only what some text ends with goes on; everything else is dropped by semi joins.
     places = counted.where(F.col("word").isNull())
     totals = rows.groupBy("tbl").agg(F.count(F.lit(1)).alias("texts"))
-    out = rows.withColumn("by", _by_source()).join(length_limits(rows), ["tbl", "by"], "left").join(totals, "tbl")
+    out = rows.withColumn("by", _by_source()).join(totals, "tbl")
+    limits = cut_lineage(length_limits(rows))
+    for unit in ("chars", "bytes"):
+        of = limits.where(F.col("unit") == unit).select("tbl", "by", F.col("len").alias(unit), F.lit(True).alias(f"limit_{unit}"))
+        out = out.join(of, ["tbl", "by", unit], "left")
     for key, name in (("place", "n2"), ("near", "n1")):
         out = out.join(places.select(F.col("place").alias(key), F.col("n").alias(name)), key, "left")
     out = out.join(places.select(F.col("place").alias("place_end"), F.col("ends").alias("e2"), "final"), "place_end", "left")
@@ -372,7 +375,7 @@ def judge(values: DataFrame, *, rare: int = 5, known: int = 2, never: float = 0.
     )
     share = F.when(share > 1, 1.0).otherwise(share)
     usual = zero("final") >= F.greatest(F.lit(float(rare)), F.col("texts") * usual_share)
-    at_limit = F.coalesce((F.col("chars") == F.col("limit_chars")) | (F.col("bytes") == F.col("limit_bytes")), F.lit(False))
+    at_limit = F.coalesce("limit_chars", "limit_bytes", F.lit(False))
     unknown = (F.col("part") != "") & (zero("longer") > 0) & F.col("word_n").isNull()
     misplaced = (F.length("part").between(1, 3)) & (zero("longer") >= 3) & (zero("n2") < rare)
     why = (

@@ -52,3 +52,13 @@ def test_open_structures():
     assert truncation.open_structure('f("""doc\n', True) == "string"
     assert truncation.open_structure("for x in y:", True) == "block"
     assert truncation.open_structure('{"a": 1}', False) == ""
+
+
+def test_every_length_limit_and_copies(spark):
+    text = lambda i, n: f"{i:03d} the worker keeps the archive {'packet ' * 60}"[:n]
+    rows = [("t", i, "u", text(i, 200), False) for i in range(40)] + [("t", 100 + i, "u", text(i, 300), False) for i in range(40)]
+    rows += [("t", 200 + i, "u", text(1, 350), False) for i in range(90)]
+    rows += [("t", 300 + i, "u", text(i, 110 + i), False) for i in range(60)]
+    got = {r.row_id: r.at_limit for r in truncation.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i] for i in range(40)) and all(got[100 + i] for i in range(40))
+    assert not any(got[200 + i] for i in range(90)) and sum(got[300 + i] for i in range(60)) == 0
