@@ -186,7 +186,7 @@ ORDINARY = frozenset(
     "puta puts put tonto tanto pronto todo toda eres era ser ver tres te ti tu de la el basar basura base idioma idiomas inicial util inútiles".split()
 ) - frozenset("sick hell dead naked pics sex thick stupid dumb worthless pathetic useless puta basura tonto women woman gay".split())
 
-HANGUL_ADDRESS = ("너", "니가", "네가", "당신", "니들")
+HANGUL_ADDRESS = re.compile("(?:너|너희|너희들|니가|네가|당신|당신들|니들)(?:는|은|를|을|의|도|만|이|가|야|같은|에게|한테|처럼)?")  # not 너무, very
 HANGUL_MENTION = ("필터", "규칙", "단어", "테스트에")
 # Ordinary words one letter away from an entry: never taken for it.
 HANGUL_ORDINARY = frozenset("꺼졌 꺼진 커져 커졌 켜져 까져 거쳐 다쳐 닥친 닥칠 변신 병실 병진 새긴 새기 지날 자랄 바로 보고 주어라 적어라 줄여버 죽여 줄어라 섹션 시발점 한심 씨앗".split())
@@ -448,7 +448,7 @@ def hangul_hit(sentence: str, lexicon: Lexicon) -> bool:
         for first, last in parts[0]:
             around = words[max(0, first - HANGUL_WINDOW) : last + 1 + HANGUL_WINDOW]
             mention = any(m in "".join(around) for m in HANGUL_MENTION)
-            if not mention or any(w.startswith(HANGUL_ADDRESS) for w in around):
+            if not mention or any(map(HANGUL_ADDRESS.fullmatch, around)):
                 return True
     return False
 
