@@ -117,16 +117,20 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).shares()
 
 
+def _abuse(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.score_documents(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
-    return abuse.score_documents(table(spark, d, "documents")).select("doc_id", "score")
+    return _abuse(spark, d).select("doc_id", "score", "direct_score", "quoted_score")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return p8_scores(spark, d).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+    return _abuse(spark, d).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
 
 
 def p8_rates(spark: SparkSession, d: str) -> DataFrame:
-    return abuse.source_rates(abuse.score_documents(table(spark, d, "documents")))
+    return abuse.source_rates(_abuse(spark, d))
 
 
 QUERIES = {
