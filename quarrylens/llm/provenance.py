@@ -2,7 +2,8 @@
 
 Three sources of evidence, each over all rows of a file:
 
-* its path and its comments (directories of third-party code, suffixes of generators, marks of tools and of upstreams);
+* its path and its comments (directories of third-party code, suffixes of generators; comments are judged by the sum of cues such as
+  "generated", "do not edit", "vendored", "upstream", a version, a licence, over every line of every row);
 * token composition: rows made of lines of one shape that only count up, rows without blanks and with short names, rows
   that are literals; a file counts if such rows hold most of its characters;
 * an inverted index of line hashes: a line weighs log(files / files that hold it). Files whose weight lies mostly in lines
@@ -10,9 +11,10 @@ Three sources of evidence, each over all rows of a file:
   wanted share must hold one (prefix filter), and the containment in each file found is computed exactly.
 
 Scale: Python reads every row once and gives a row of counts and line hashes, kept in the shared checkpoint folder. Line
-statistics are combined before the shuffle. Lines that more than ``long_list`` files hold are not joined file by file but
-only with two files of different repositories that hold them (those with the smallest and the largest repository hash), so
-a library copied ten thousand times costs two rows a line and is still found.
+statistics are combined before the shuffle. Lines that more than ``long_list`` files hold are first joined only with two files of
+different repositories that hold them (those with the smallest and the largest repository hash), which settles a library copied ten
+thousand times at two rows a line. Only files that this leaves open meet all holders of those lines, in salted parts, so no
+link is lost.
 
 Edge cases: rows without a path are left out; null or empty code adds nothing; a null repo is a repo of its own; rows loaded
 twice count once in the index; files of a few short lines are never judged by the index; extra columns are ignored; empty
@@ -43,15 +45,36 @@ MADE_PATH = re.compile(
     r"|(?:[._-]generated|\.gen|\.g|_pb2(?:_grpc)?|\.pb|_pb|\.designer|\.auto|_gen)\.(?:py|js|jsx|ts|tsx|go|java|cs|rb)$|(?:^|/)zz_generated"
 )
 COMPACT_PATH = re.compile(r"(?i)[.-]min\.(?:js|mjs|css|ts)$|\.(?:bundle|chunk|packed|umd)\.(?:js|mjs|ts)$")
-MADE_MARK = re.compile(
-    r"(?i)code generated by\b|@generated\b|\bauto-?generated (?:from|by|file|code|using|with)\b|(?:file|module|code|source) (?:was|is|has been) (?:auto\w* ?)?(?:automatically )?(?:generated|produced|created) (?:automatically|by|from|with)"
-    r"|produced automatically|automatically (?:generated|produced|created) (?:by|from|with)|generated by (?:the )?\w+[.,;:]? (?:do not|changes|version|v?\d)|output - regenerate|regenerate instead|changes will be (?:lost|overwritten)"
-    r"|\bDO NOT (?:EDIT|MODIFY)\b(?! the| this (?:value|list))|schema, do not modify|automatisch (?:erzeugt|generiert|erstellt) (?:von|durch|aus|mit)|자동(?:으로)? ?생성(?:했|됐|되었|된 파일)|자동 생성된|generad[oa] automáticamente|généré automatiquement|自动生成"
-)
-COPIED_MARK = re.compile(
-    r"(?i)\bvendored?:|\bvendored from|\btaken (?:verbatim )?from the \S+ (?:project|library|package)|\bbundled copy\b|imported into this tree|\bcopied (?:verbatim )?from (?:the )?\S+ (?:project|library|package|v?\d)|upstream for changes|\(c\) its authors"
-    r"|(?:aus|von) dem projekt \S+ übernommen|프로젝트에서 (?:가져온|복사한)|copiado del proyecto"
-)
+# Cues of comments and what each adds: a comment counts by the sum over its cues, not by a wording.
+MADE_CUES = [
+    (3.0, r"@generated\b"),
+    (1.0, r"\b(?:auto-?)?generated\b|\bproduced\b|\bcreated\b|\bemitted\b|\btranspiled\b|\berzeugt|\bgeneriert|\berstellt|생성|\bgenerad[oa]|\bgénéré|生成"),
+    (1.0, r"\bauto-?generated\b|\bautomatic|\bautomatisch|자동|\bautomátic|\bautomatiquement|自动"),
+    (1.0, r"\bdo not (?:edit|modify|change|touch)\b|\bdon't edit\b|\bnicht (?:bearbeiten|ändern)\b|수정하지|\bno editar\b"),
+    (1.0, r"\b(?:changes|edits|änderungen|cambios)\b.{0,30}\b(?:lost|overwritten|verloren|perder)"),
+    (1.0, r"\bregenerate|\bre-?run\b|\bneu erzeugen\b"),
+    (1.5, r"\binstead of editing\b"),
+    (0.5, r"\boutput\b"),
+    (0.5, r"\b(?:by|from|with|using|von|aus|mit|por)\s+\S+|도구"),
+    (0.5, r"\b(?:code|file|module|source|datei|archivo)\b|파일"),
+    (0.5, r"^\W*(?:auto|generated|produced|erzeugt|generiert|자동)"),
+]
+COPIED_CUES = [
+    (2.0, r"\bvendored\b|\bbundled\b|\bthird[- ]party\b|\b3rd[- ]party\b"),
+    (1.0, r"\b(?:taken|copied|imported|ported|borrowed|adapted|lifted|mirrored) (?:\w+ )?(?:from|into|of)\b|\bübernommen|\bkopiert|가져온|복사|\bcopiad[oa]|\btomad[oa]"),
+    (1.0, r"\bupstream\b"),
+    (1.0, r"\bverbatim\b|\bunchanged\b|\bunmodified\b|\bunverändert|그대로|\bsin cambios\b"),
+    (1.0, r"\(c\)|\bcopyright\b|\bauthors\b|\blicen[sc]e"),
+    (0.5, r"[\w-]+[ @]v?\d+(?:\.\d+)+|\b(?:release|version) v?\d"),
+    (0.5, r"\b(?:project|library|package|repository|projekt|proyecto|biblioteca)\b|프로젝트"),
+]
+MADE_ENOUGH, COPIED_ENOUGH = 3.0, 2.0
+_MADE = [(w, re.compile(x, re.IGNORECASE)) for w, x in MADE_CUES]
+_COPIED = [(w, re.compile(x, re.IGNORECASE)) for w, x in COPIED_CUES]
+# One of these must stand in a comment that can reach the sum.
+_MADE_HINT = re.compile(r"(?i)generat|génér|generad|produced|created|emitted|transpiled|erzeug|generier|erstellt|생성|生成|do(?:n't| not) |regenerate")
+_COPIED_HINT = re.compile(r"(?i)vendored|bundled|third|3rd|from|into|übernommen|kopiert|가져온|복사|copiad|tomad|upstream|verbatim|unchanged|unmodified|unveränder|그대로|sin cambios")
+_COMMENT_LINE = re.compile(r"^[ \t]*(?:#|//|/\*|\*|<!--|--|\"\"\"|''')(.*)$", re.MULTILINE)
 _COMMENT = re.compile(r"^\s*(?:#|//|/\*|\*|<!--|--|\"\"\"|''')")
 _STRING = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`(?:[^`\\]|\\.)*`')
 _COUNTER = re.compile(r"[A-Za-z_]*\d+")
@@ -98,6 +121,17 @@ def line_hashes(code: str, least: int) -> list[int]:
     return [digest(x) - (1 << 63) for x in kept]
 
 
+def marks(code: str) -> tuple[bool, bool]:
+    """Whether a comment says that a tool made the file, and whether one says that it was copied in."""
+    made = copied = False
+    for comment in _COMMENT_LINE.findall(code):
+        if not made and _MADE_HINT.search(comment):
+            made = sum(w for w, cue in _MADE if cue.search(comment)) >= MADE_ENOUGH
+        if not copied and _COPIED_HINT.search(comment):
+            copied = sum(w for w, cue in _COPIED if cue.search(comment)) >= COPIED_ENOUGH
+    return made, copied
+
+
 def _rows(least: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -105,24 +139,18 @@ def _rows(least: int):
             for file, repo, path, code in zip(pdf["file_id"], pdf["repo_id"], pdf["file_path"], pdf["code"]):
                 code = code or ""
                 what, chars = composition(code)
-                made = copied = False
-                if not what or "#" in code[:400] or "//" in code[:400]:
-                    for x in code.splitlines()[:40] if what else code.splitlines():
-                        if x.lstrip()[:1] in ("#", "/", "*", "<", '"', "-"):
-                            made = made or bool(MADE_MARK.search(x))
-                            copied = copied or bool(COPIED_MARK.search(x))
+                made, copied = marks(code)
                 out.append((
                     file, repo, bool(MADE_PATH.search(path)) or made, bool(COPIED_PATH.search(path)) or copied,
-                    bool(COMPACT_PATH.search(path)), chars, chars if what else 0, xxhash.xxh3_64_intdigest(code) - (1 << 63),
-                    [] if what else line_hashes(code, least),
+                    bool(COMPACT_PATH.search(path)), chars, chars if what else 0, line_hashes(code, least),
                 ))
-            yield pd.DataFrame(out, columns=["file_id", "repo_id", "made", "copied", "compact", "chars", "odd_chars", "row_hash", "lines"])
+            yield pd.DataFrame(out, columns=["file_id", "repo_id", "made", "copied", "compact", "chars", "odd_chars", "lines"])
 
     return run
 
 
 _ROWS = (
-    "file_id long, repo_id long, made boolean, copied boolean, compact boolean, chars long, odd_chars long, row_hash long, "
+    "file_id long, repo_id long, made boolean, copied boolean, compact boolean, chars long, odd_chars long, "
     "lines array<long>"
 )
 
@@ -153,18 +181,30 @@ def contained_files(rows: DataFrame, *, share: float = 0.6, least_lines: int = 5
     order = W.partitionBy("file_id").orderBy("files", "line").rowsBetween(W.unboundedPreceding, -1)
     before = F.coalesce(F.sum("weight").over(order), F.lit(0.0)) + F.col("all_weight") - F.col("far_weight")
     prefix = mine.withColumn("before", before).where(F.col("before") <= F.col("all_weight") * (1 - share) + 1e-9)
-    b = far.select(F.col("file_id").alias("other"), F.col("repo_id").alias("other_repo"), "line")
-    near = prefix.where(F.col("files") <= long_list).join(b, "line").where("repo_id <> other_repo").select("file_id", "other")
-    hubs = prefix.where(F.col("files") > long_list).select(
+    other = far.select(F.col("file_id").alias("other"), F.col("repo_id").alias("other_repo"), "line", "files")
+
+    def holding(candidates: DataFrame) -> DataFrame:
+        """file_id of those that a candidate contains to ``share``, compared line by line."""
+        common = (
+            mine.select("file_id", "line", "weight", "all_weight").join(candidates, "file_id")
+            .join(other.select("other", "line"), ["other", "line"])
+            .groupBy("file_id", "other").agg(F.sum("weight").alias("common"), F.first("all_weight").alias("all_weight"), F.count(F.lit(1)).alias("n"))
+        )
+        return common.where((F.col("common") >= F.col("all_weight") * share) & (F.col("n") >= least_lines)).select("file_id").distinct()
+
+    short = F.col("files") <= long_list
+    near = prefix.where(short).join(other.where(short).drop("files"), "line").where("repo_id <> other_repo").select("file_id", "other")
+    hubs = prefix.where(~short).select(
         "file_id", "repo_id", F.explode(F.array("low", "high")).alias("hub")
     ).where("repo_id <> hub.repo_id").select("file_id", F.col("hub.file_id").alias("other"))
-    candidates = near.unionByName(hubs).distinct()
-    common = (
-        mine.select("file_id", "line", "weight", "all_weight").join(candidates, "file_id")
-        .join(b.select("other", "line"), ["other", "line"])
-        .groupBy("file_id", "other").agg(F.sum("weight").alias("common"), F.first("all_weight").alias("all_weight"), F.count(F.lit(1)).alias("n"))
-    )
-    return common.where((F.col("common") >= F.col("all_weight") * share) & (F.col("n") >= least_lines)).select("file_id").distinct()
+    first = cut_lineage(holding(near.unionByName(hubs).distinct()))
+    # What two holders of its long lists don't settle meets all holders, in parts of about ``long_list`` of them.
+    open_ = prefix.where(~short).join(first, "file_id", "left_anti")
+    parts = F.ceil(F.col("files") / long_list).cast("int")
+    left = open_.select("file_id", "repo_id", "line", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    right = other.where(~short).select("other", "other_repo", "line", F.pmod(F.xxhash64("other"), parts).cast("int").alias("part"))
+    rest = left.join(right, ["line", "part"]).where("repo_id <> other_repo").select("file_id", "other").distinct()
+    return first.unionByName(holding(rest))
 
 
 def judge_files(sources: DataFrame, *, odd_share: float = 0.8, share: float = 0.6, least_line: int = 16) -> DataFrame:

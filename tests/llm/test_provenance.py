@@ -50,3 +50,28 @@ def test_empty_and_very_long(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert provenance.judge_files(df).count() == 0
     assert judge(spark, [("n", "r", "a.py", hand(1, 20000)), ("n", "r", "b.py", hand(2, 20))]) == {}
+
+
+def test_comments_are_judged_by_cues():
+    for text in ("# This module is emitted automatically from api.yaml; do not change.", "// AUTO-GENERATED FILE - DO NOT MODIFY", "x = 1\n# datei automatisch generiert von werkzeug",
+                 "# @generated", "/* Generated from rates.proto by protoplan. Don't edit. */"):
+        assert provenance.marks(text) == (True, False), text
+    for text in ("# Bundled from leftpad v1.3.0", "// copied from the colorlib project, licence MIT", "# third-party, unmodified", "// Taken verbatim from requests 2.31.0"):
+        assert provenance.marks(text) == (False, True), text
+    for text in ("# The generated id is returned to the caller", "# Copyright (c) 2020 own authors. Part of app.", "# keys are created automatically", "# imported rows go upstream",
+                 "# do not edit the file while a run is active", "x = 'vendored'", "", "// generated output is cached"):
+        assert provenance.marks(text) == (False, False), text
+
+
+def test_note_behind_a_long_table_is_read(spark):
+    table = "TABLE = [\n" + "\n".join(f"    {i * 7919 % 9973}," for i in range(500)) + "\n]\n"
+    got = judge(spark, [("n", "r", "src/t.py", table + "# vendored from ratelib 2.1\n"), ("n", "r", "src/t.py", hand(3, 400))])
+    assert got == {("r", "src/t.py"): "copied"}
+
+
+def test_file_whose_lines_many_hold_but_only_one_contains(spark):
+    libraries = [hand(k, 12).splitlines()[1:] for k in range(3)]
+    rows = [("n", f"r{k}_{i}", f"lib/z{i}.py", "\n".join(lines) + "\n" + hand(5000 + 100 * k + i, 40)) for k, lines in enumerate(libraries) for i in range(90)]
+    rows += [("n", "whole", "all.py", "\n".join(x for lines in libraries for x in lines) + "\n" + hand(9001, 60))]
+    rows += [("n", "part", "some.py", "\n".join(x for lines in libraries for x in lines[:7]))]
+    assert judge(spark, rows) == {("part", "some.py"): "contained"}
