@@ -157,30 +157,28 @@ _ROWS = (
 
 def contained_files(rows: DataFrame, *, share: float = 0.6, least_lines: int = 5, long_list: int = 64) -> DataFrame:
     """file_id of files whose line weight lies to ``share`` in one file of another repository."""
-    # One exchange on the line serves the removal of repeats, the lists and their join back.
-    lines = rows.select("file_id", "repo_id", F.explode("lines").alias("line")).repartition("line").dropDuplicates(["line", "file_id"])
-    total = rows.select("file_id").distinct().count()
+    # The lines of a file are made distinct where its rows meet, with their number beside them; one more exchange, on the line, serves the
+    # lists and their join back, and only lines that several repositories have go on.
+    files = rows.groupBy("file_id", "repo_id").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"))
+    lines = files.select("file_id", "repo_id", F.size("lines").alias("n_lines"), F.explode("lines").alias("line")).repartition("line")
+    total = float(max(2, rows.select("file_id").distinct().count()))
     lists = lines.groupBy("line").agg(
         F.count(F.lit(1)).alias("files"), F.min(F.struct("repo_id", "file_id")).alias("low"),
         F.max(F.struct("repo_id", "file_id")).alias("high"),
-    )
-    weight = F.log(F.lit(float(max(2, total))) / F.col("files")) + 0.01
-    weighted = lines.join(lists, "line").select(
-        "file_id", "repo_id", "line", "files", "low", "high", weight.alias("weight"),
-        (F.col("low.repo_id") != F.col("high.repo_id")).alias("elsewhere"),
-    )
-    sums = weighted.groupBy("file_id").agg(
-        F.sum("weight").alias("all_weight"), F.sum(F.when(F.col("elsewhere"), F.col("weight")).otherwise(0.0)).alias("far_weight"),
-        F.count_if("elsewhere").alias("far_lines"),
-    )
-    screened = cut_lineage(
-        sums.where((F.col("far_lines") >= least_lines) & (F.col("far_weight") >= F.col("all_weight") * share)).drop("far_lines")
-    )
-    far = cut_lineage(weighted.where("elsewhere").drop("elsewhere"))
-    mine = far.join(screened, "file_id")
+    ).where("low.repo_id <> high.repo_id")
+    weight = F.log(F.lit(total) / F.col("files")) + 0.01
+    far = cut_lineage(lines.join(lists, "line").select("file_id", "repo_id", "n_lines", "line", "files", "low", "high", weight.alias("weight")))
+    # A line that only one repository has weighs as if one file had it.
+    sums = far.groupBy("file_id").agg(
+        F.sum("weight").alias("far_weight"), F.count(F.lit(1)).alias("far_lines"), F.first("n_lines").alias("n_lines")
+    ).withColumn("all_weight", F.col("far_weight") + (F.col("n_lines") - F.col("far_lines")) * (F.log(F.lit(total)) + 0.01))
+    screened = sums.where((F.col("far_lines") >= least_lines) & (F.col("far_weight") >= F.col("all_weight") * share))
+    mine = cut_lineage(far.drop("n_lines").join(screened.select("file_id", "far_weight", "all_weight"), "file_id"))
     order = W.partitionBy("file_id").orderBy("files", "line").rowsBetween(W.unboundedPreceding, -1)
     before = F.coalesce(F.sum("weight").over(order), F.lit(0.0)) + F.col("all_weight") - F.col("far_weight")
-    prefix = mine.withColumn("before", before).where(F.col("before") <= F.col("all_weight") * (1 - share) + 1e-9)
+    prefix = cut_lineage(
+        mine.withColumn("before", before).where(F.col("before") <= F.col("all_weight") * (1 - share) + 1e-9).drop("weight", "before", "far_weight", "all_weight")
+    )
     other = far.select(F.col("file_id").alias("other"), F.col("repo_id").alias("other_repo"), "line", "files")
 
     def holding(candidates: DataFrame) -> DataFrame:
