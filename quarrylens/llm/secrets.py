@@ -230,17 +230,20 @@ class _Kept(dict):
 _LOOKS = _Kept(value_class)
 _PARTS = _Kept(lambda key: parts_of_value(*key))
 _NAMES = _Kept(name_class)
-_SHAPES = _Kept(_shape)
+_SHAPES = _Kept(lambda t: (_shape(t), min(6, len(t) // 4), _class(t[0]), _class(t[-1])))
 
 
-def _place(tokens: list[str], part: tuple[int, int], i: int, whole: tuple[str, str, str, str]) -> tuple:
-    """All that the features of a token depend on."""
-    t = tokens[i]
-    inside = part[0] <= i < part[1]
-    return (
-        inside, i == part[0], i == part[1] - 1, _SHAPES[t], min(6, len(t) // 4), _class(tokens[i - 1][-1]) if i else "^",
-        _class(tokens[i + 1][0]) if i + 1 < len(tokens) else "$", whole if inside else None,
-    )
+def _places(tokens: list[str], part: tuple[int, int], whole: tuple[str, str, str, str]) -> list[tuple]:
+    """All that the features of each token depend on."""
+    looks = [_SHAPES[t] for t in tokens]
+    first, end = part
+    return [
+        (
+            first <= i < end, i == first, i == end - 1, shape, length, looks[i - 1][3] if i else "^",
+            looks[i + 1][2] if i + 1 < len(looks) else "$", whole if first <= i < end else None,
+        )
+        for i, (shape, length, _, _) in enumerate(looks)
+    ]
 
 
 def _feature_ids(place: tuple) -> list[int]:
@@ -336,7 +339,7 @@ def _sequence(text: str, a: int, b: int, name: str, kind: str):
         whole = (
             "secret" if place == "login" else _NAMES[called], _LOOKS[value[x:y]], kind, place.split("-")[0] if place.startswith("scheme") else place,
         )
-        yield tokens, begin - sum(map(len, before)), [_place(tokens, part, i, whole) for i in range(len(tokens))]
+        yield tokens, begin - sum(map(len, before)), _places(tokens, part, whole)
 
 
 # --- training -------------------------------------------------------------------------------------------------------
