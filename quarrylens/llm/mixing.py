@@ -1,19 +1,21 @@
 """Mixing sources to target shares of tokens with capped repeats.
 
 Documents with a usable source are the labelled table. Their word counts by source, summed over all of them, make a naive
-Bayes classifier; it gives every document without a usable source its posterior over the sources. A labelled document belongs
-to its source outright. A rate per document, between 0 and the repeats its source allows, is then fitted so that the expected
-tokens of each source match the targets: projected gradient steps on the least squares, each one distributed sum over the
-documents (documents of equal membership share a rate, so they are summed first and the result stays exact). Rates become
-whole repeats by systematic sampling along running sums, so that a source's repeats differ from the sum of its rates by less
-than one document.
+Bayes classifier; every document, labelled or not, gets its posterior over the sources from the words of the other half of the
+labelled documents, so none is judged by itself. A label is evidence, not a membership: it multiplies its source by ``trust`` and the
+others by the rest. The sharpness of the posterior is the one with the least held-out loss. A rate per document, between 0 and
+the repeats its source allows, is then fitted so that the expected tokens of each source match the targets: projected
+gradient steps on the least squares, each one distributed sum over the documents (documents of equal membership share a rate, so they
+are summed first and the result stays exact). Rates become whole repeats by systematic sampling along running sums, so that a
+source's repeats differ from the sum of its rates by less than one document.
 
 The total is the largest that all targets allow, unless given. Token counts come from the vocabulary file of a public
-tokenizer whose path is a parameter.
+tokenizer whose path is a parameter. Held-out accuracy, loss and the residual of every step are reported by ``quality``.
 
-Scale: token counting and classification are narrow maps; the classifier's table has ``WORD_BUCKETS`` rows by source, however
-many documents there are. Running sums go through hash buckets of a source with offsets from the buckets' totals, so a
-source with a third of all rows is not ordered in one task.
+Scale: one narrow map counts tokens and words of whole texts and keeps their numbers; all later passes work on these. The classifier's
+table has ``WORD_BUCKETS`` rows by source and half, however many documents there are, and at most ``MOST_TARGETS`` sources are allowed
+(more is an error). Running sums go through hash buckets of a source with offsets from the buckets' totals, so a source with a third of all
+rows is not ordered in one task.
 
 Edge cases: null and empty texts have no tokens and are never chosen; sources that differ in case or blanks are one; a source
 without a target is as good as none; a target without documents gets nothing and is reported with share 0; repeated rows
@@ -23,6 +25,7 @@ are documents of their own; extra columns are ignored; empty tables give no docu
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +42,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORD_BUCKETS = 1 << 14
 ROWS_PER_BUCKET = 50_000
+MOST_TARGETS = 1000
+TEMPERS = (1.0, 0.5, 0.25, 0.15, 0.1, 0.07)
 
 _ENCODERS: dict[str, object] = {}
 
@@ -64,43 +69,45 @@ def _prepared(path: str, sources: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
         for pdf in batches:
-            tokens = [len(enc.encode_ordinary(t)) for t in pdf["text"]]
             yield pd.DataFrame({
-                "doc_id": pdf["doc_id"], "domain": [index.get(s, -1) for s in pdf["source"]], "tokens": tokens, "text": pdf["text"],
+                "doc_id": pdf["doc_id"], "domain": [index.get(s, -1) for s in pdf["source"]], "half": pdf["half"],
+                "tokens": [len(enc.encode_ordinary(t)) for t in pdf["text"]], "words": [_word_ids(t).astype(np.int32) for t in pdf["text"]],
             })
 
     return run
 
 
-def word_table(labelled: DataFrame, domains: int) -> np.ndarray:
-    """Documents that hold a word, by word bucket and domain, summed over all labelled documents; the last row counts them."""
+def word_tables(labelled: DataFrame, domains: int) -> np.ndarray:
+    """For both halves, documents that hold a word by word bucket and domain, summed over all labelled documents; the last row counts them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros((2, WORD_BUCKETS + 1, domains), dtype=np.int64)
         for pdf in batches:
-            counts = np.zeros((WORD_BUCKETS + 1, domains), dtype=np.int64)
-            for d, text in zip(pdf["domain"], pdf["text"]):
-                counts[_word_ids(text), d] += 1
-                counts[WORD_BUCKETS, d] += 1
-            word, domain = counts.nonzero()
-            yield pd.DataFrame({"word": word, "domain": domain, "n": counts[word, domain]})
-
-    rows = labelled.mapInPandas(run, "word long, domain long, n long").groupBy("word", "domain").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros((WORD_BUCKETS + 1, domains))
-    table[rows["word"].to_numpy(dtype=np.int64), rows["domain"].to_numpy(dtype=np.int64)] = rows["n"]
+            for h, d, words in zip(pdf["half"], pdf["domain"], pdf["words"]):
+                counts[h, words, d] += 1
+                counts[h, WORD_BUCKETS, d] += 1
+        half, word, domain = counts.nonzero()
+        yield pd.DataFrame({"half": half, "word": word, "domain": domain, "n": counts[half, word, domain]})
+
+    found = labelled.select("half", "domain", "words").mapInPandas(run, "half int, word long, domain long, n long")
+    rows = found.groupBy("half", "word", "domain").agg(F.sum("n").alias("n")).toPandas()  # at most 2 x buckets x domains rows
+    table = np.zeros((2, WORD_BUCKETS + 1, domains))
+    table[tuple(rows[c].to_numpy(dtype=np.int64) for c in ("half", "word", "domain"))] = rows["n"]
     return table
 
 
-def classifier(table: np.ndarray, smoothing: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-    """Weights by word and domain, and priors."""
+def classifier(table: np.ndarray, smoothing: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
+    """Weights by word and domain, and priors; a domain's rates lean towards those of all documents, so small domains aren't held for noisy ones."""
     docs = table[-1]
-    present = (table[:-1] + smoothing) / (docs + 2 * smoothing)
-    prior = np.log((docs + smoothing) / (docs + smoothing).sum())
-    return np.log(present) - np.log1p(-np.minimum(present, 0.999)), prior + np.log1p(-np.minimum(present, 0.999)).sum(axis=0)
+    overall = (table[:-1].sum(axis=1, keepdims=True) + 0.5) / (docs.sum() + 1.0)
+    present = np.clip((table[:-1] + smoothing * overall) / (docs + smoothing), 1e-9, 0.999)
+    prior = np.log((docs + 0.5) / (docs + 0.5).sum())
+    return np.log(present) - np.log1p(-present), prior + np.log1p(-present).sum(axis=0)
 
 
-def posterior(text: str, weights: np.ndarray, prior: np.ndarray, temper: float = 0.25) -> np.ndarray:
+def posterior(words: np.ndarray, weights: np.ndarray, prior: np.ndarray, temper: float) -> np.ndarray:
     """Probabilities of the domains; ``temper`` allows for words that depend on each other."""
-    score = (weights[_word_ids(text)].sum(axis=0) + prior) * temper
+    score = (weights[words].sum(axis=0) + prior) * temper
     p = np.exp(score - score.max())
     return p / p.sum()
 
@@ -108,46 +115,73 @@ def posterior(text: str, weights: np.ndarray, prior: np.ndarray, temper: float =
 class Mixture:
     """Chosen documents and reached shares for ``docs`` (doc_id, source, text) and ``targets`` (source, target_share, max_repeats)."""
 
-    def __init__(self, docs: DataFrame, targets: DataFrame, *, tokenizer: str = TOKENIZER, total_tokens: float | None = None, steps: int = 40):
-        wanted = targets.select(F.lower(F.trim("source")).alias("source"), "target_share", "max_repeats").orderBy("source").limit(1000).collect()
-        self.spark = docs.sparkSession
+    def __init__(self, docs: DataFrame, targets: DataFrame, *, tokenizer: str = TOKENIZER, total_tokens: float | None = None, steps: int = 30, trust: float = 0.995):
+        wanted = targets.select(F.lower(F.trim("source")).alias("source"), "target_share", "max_repeats").orderBy("source").limit(MOST_TARGETS + 1).collect()
+        if len(wanted) > MOST_TARGETS:
+            raise ValueError(f"more than {MOST_TARGETS} targets")
+        self.spark, self.trust = docs.sparkSession, trust
         self.sources = [r.source for r in wanted]
         self.share = np.array([r.target_share for r in wanted], dtype=float)
         self.caps = np.array([r.max_repeats for r in wanted], dtype=float)
-        src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.trim("source")).alias("source"), "text").where(F.length("text") > 0)
-        made = src.mapInPandas(_prepared(tokenizer, self.sources), "doc_id long, domain int, tokens long, text string")
-        counted = made.where((F.col("tokens") > 0) & F.lit(bool(self.sources)))
-        self.documents = cut_lineage(self._membership(counted))
+        src = docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.trim("source")).alias("source"), F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half"), "text"
+        ).where((F.length("text") > 0) & F.lit(bool(self.sources)))
+        made = src.mapInPandas(_prepared(tokenizer, self.sources), "doc_id long, domain int, half int, tokens long, words array<int>")
+        self.documents = cut_lineage(self._membership(cut_lineage(made.where("tokens > 0"))))
         self.totals = self._totals()
-        allowed = self.totals * self.caps
+        # What a source can give at most: its own documents at their caps; the traces of it in others follow their sources.
+        own = F.array(*(F.when(F.col("best") == i, 1.0).otherwise(0.0) for i in range(len(self.sources)))) if self.sources else None
+        allowed = self._sums(F.col("tokens") * F.col("cap"), own)
         self.total = total_tokens or (float(np.min(allowed[self.share > 0] / self.share[self.share > 0])) if len(allowed) else 0.0)
+        self.residuals: list[float] = []
         self.history = self._fit(steps)
 
     def _membership(self, counted: DataFrame) -> DataFrame:
-        """doc_id, tokens, p (membership by source), cap."""
-        n, caps = len(self.sources), self.caps
-        weights, prior = classifier(word_table(counted.where("domain >= 0").select("domain", "text"), n))
-        weights = weights.astype(np.float32)
+        """doc_id, tokens, p (membership by source), best (the label, or the likeliest source), cap."""
+        n, caps, trust = len(self.sources), self.caps, self.trust
+        tables = word_tables(counted.where("domain >= 0"), n)
+        # Each half is judged by the words of the other; documents without a label by both.
+        models = [tuple(x.astype(np.float32) for x in classifier(t)) for t in (tables[1], tables[0], tables[0] + tables[1])]
+
+        def loss(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                out = []
+                for h, d, words in zip(pdf["half"], pdf["domain"], pdf["words"]):
+                    for k, temper in enumerate(TEMPERS):
+                        p = posterior(words, *models[h], temper)
+                        out.append((k, -math.log(max(float(p[d]), 1e-12)), int(p.argmax() == d)))
+                yield pd.DataFrame(out, columns=["k", "loss", "right"])
+
+        held = counted.where("domain >= 0").select("half", "domain", "words").mapInPandas(loss, "k int, loss double, right int")
+        rows = {r.k: r for r in held.groupBy("k").agg(F.avg("loss").alias("loss"), F.avg("right").alias("right")).collect()}
+        best = min(rows, key=lambda k: (round(rows[k].loss, 9), k)) if rows else 0
+        temper = TEMPERS[best]
+        self.held_out = (rows[best].right, rows[best].loss, temper) if rows else (0.0, 0.0, temper)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sure = np.eye(n)
+            evidence = np.full((n + 1, n), (1 - trust) / max(1, n - 1))
+            evidence[range(n), range(n)] = trust
+            evidence[n] = 1.0
             for pdf in batches:
-                p = [sure[d] if d >= 0 else np.round(posterior(t, weights, prior), 3) for d, t in zip(pdf["domain"], pdf["text"])]
-                p = [x / x.sum() for x in p]
+                p = []
+                for d, h, words in zip(pdf["domain"], pdf["half"], pdf["words"]):
+                    x = posterior(words, *models[h if d >= 0 else 2], temper) * evidence[d]
+                    x = np.round(x / x.sum(), 3)
+                    p.append(x / x.sum())
                 yield pd.DataFrame({
-                    "doc_id": pdf["doc_id"], "tokens": pdf["tokens"], "labelled": pdf["domain"] >= 0, "p": p,
-                    "cap": [float(caps[int(x.argmax())]) for x in p],
+                    "doc_id": pdf["doc_id"], "tokens": pdf["tokens"], "p": p, "best": (best := [int(d if d >= 0 else x.argmax()) for d, x in zip(pdf["domain"], p)]), "cap": [float(caps[b]) for b in best],
                 })
 
-        return counted.mapInPandas(run, "doc_id long, tokens long, labelled boolean, p array<double>, cap double")
+        return counted.mapInPandas(run, "doc_id long, tokens long, p array<double>, best int, cap double")
 
-    def _sums(self, weight) -> np.ndarray:
-        cols = [F.sum(F.col("p")[i] * weight).alias(f"s{i}") for i in range(len(self.sources))]
+    def _sums(self, weight, of=None) -> np.ndarray:
+        part = (lambda i: F.col("p")[i]) if of is None else (lambda i: F.col("p")[i] * of[i])
+        cols = [F.sum(part(i) * weight).alias(f"s{i}") for i in range(len(self.sources))]
         row = self.atoms.agg(*cols).first() if cols else ()
         return np.array([x or 0.0 for x in row])
 
     def _totals(self) -> np.ndarray:
-        self.atoms = cut_lineage(self.documents.groupBy("p", "cap").agg(F.sum("tokens").alias("tokens")))
+        self.atoms = cut_lineage(self.documents.groupBy("p", "cap", "best").agg(F.sum("tokens").alias("tokens")))
         return self._sums(F.col("tokens"))
 
     def rate(self, history):
@@ -165,15 +199,16 @@ class Mixture:
         history: list[np.ndarray] = []
         reached = np.zeros(len(self.sources))
         for _ in range(steps):
-            if self.total <= 0 or np.abs(reached - target).max() <= tolerance * self.total:
+            self.residuals.append(float(np.abs(reached - target).max() / self.total) if self.total > 0 else 0.0)
+            if self.residuals[-1] <= tolerance or len(self.residuals) > 3 and self.residuals[-1] > 0.97 * self.residuals[-2]:
                 break
             history.append((reached - target) / scale)
             reached = self._sums(F.col("tokens") * self.rate(history))
         return history
 
     def chosen(self) -> DataFrame:
-        """doc_id, source (the likeliest), tokens, repeats of the documents that are used."""
-        best = F.array_position("p", F.array_max("p")).cast("int")
+        """doc_id, source (the label, or the likeliest), tokens, repeats of the documents that are used."""
+        best = F.col("best") + 1
         names = F.array(*(F.lit(s) for s in self.sources)) if self.sources else F.array(F.lit(""))
         size = dict(self.documents.groupBy(best.alias("d")).agg(F.count(F.lit(1)).alias("n")).collect())
         buckets = F.array(*(F.lit(1 + size.get(i + 1, 0) // ROWS_PER_BUCKET) for i in range(max(1, len(self.sources)))))
@@ -193,20 +228,28 @@ class Mixture:
         ).where("repeats > 0")
 
     def shares(self) -> DataFrame:
-        """source, target_share, actual_share, tokens, documents, most_repeats."""
+        """source, target_share, actual_share (expected tokens), chosen_share (tokens of documents counted under their label or likeliest source), tokens, documents, most_repeats."""
         n = len(self.sources)
         used = self.chosen()
-        each = used.select("source", "tokens", "repeats", F.posexplode("p").alias("domain", "part")).where("part > 0")
-        sums = each.groupBy("domain").agg(
-            F.sum(F.col("part") * F.col("tokens") * F.col("repeats")).alias("tokens"), F.count(F.lit(1)).alias("documents"),
-            F.max("repeats").alias("most_repeats"),
+        each = used.select("tokens", "repeats", F.posexplode("p").alias("domain", "part")).where("part > 0")
+        sums = each.groupBy("domain").agg(F.sum(F.col("part") * F.col("tokens") * F.col("repeats")).alias("tokens"))
+        plain = used.groupBy("source").agg(
+            F.sum(F.col("tokens") * F.col("repeats")).alias("chosen"), F.count(F.lit(1)).alias("documents"), F.max("repeats").alias("most_repeats")
         )
-        total = used.agg(F.sum(F.col("tokens") * F.col("repeats")).alias("t")).first().t or 0
+        total = F.greatest(F.sum("chosen").over(W.partitionBy()), F.lit(1))
         goal = self.spark.createDataFrame(
             [(i, self.sources[i], float(self.share[i])) for i in range(n)], "domain int, source string, target_share double"
         )
-        return goal.join(sums, "domain", "left").select(
-            "source", "target_share", F.round(F.coalesce(F.col("tokens") / F.lit(float(max(1, total))), F.lit(0.0)), 6).alias("actual_share"),
-            F.round(F.coalesce("tokens", F.lit(0.0))).cast("long").alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"),
-            F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"),
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+        return goal.join(sums, "domain", "left").join(plain, "source", "left").select(  # a row per target: the window is as small
+            "source", "target_share", F.round(F.coalesce(zero("tokens") / total, F.lit(0.0)), 6).alias("actual_share"),
+            F.round(F.coalesce(zero("chosen") / total, F.lit(0.0)), 6).alias("chosen_share"), F.round(zero("tokens")).cast("long").alias("tokens"),
+            zero("documents").alias("documents"), zero("most_repeats").alias("most_repeats"),
         )
+
+    def quality(self) -> DataFrame:
+        """measure, step, value: held-out accuracy and loss of the classifier, its temper, and the largest residual share before each step."""
+        right, loss, temper = self.held_out
+        rows = [("held-out accuracy", 0, float(right)), ("held-out loss", 0, float(loss)), ("temper", 0, float(temper))]
+        rows += [("residual", i, x) for i, x in enumerate(self.residuals)]
+        return self.spark.createDataFrame([(m, i, round(v, 9)) for m, i, v in rows], "measure string, step int, value double")

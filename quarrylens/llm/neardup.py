@@ -11,8 +11,9 @@ prefixes, so skipping loses no pair that reaches the threshold. Pairs that pass
 sets.
 
 Skew: records with one and the same shingle set are folded into a class before anything is posted, so a group of
-copies costs one posting. List lengths come from a pre-aggregated count. The longest lists of a record never enter the
-pair join. Nothing is collected to the driver.
+copies costs one posting. The longest lists of a record never enter the pair join; a list or class of more than ``list_part`` members
+is joined in parts. ``class_pairs`` and ``groups`` hold one row per pair of classes or per record; ``pairs`` expands copies where a
+contract asks for every pair. Nothing is collected to the driver.
 
 Edge cases: null fields are empty text; a record with fewer words than a shingle has no shingles and no partners;
 ids are unique, and rows repeated under one id count as one; extra columns are ignored; an empty table gives an empty
@@ -85,8 +86,8 @@ class NearDuplicates:
     """Classes of equal shingle sets, similar class pairs, and what follows from them."""
 
     def __init__(self, df: DataFrame, id_col: str, text: Column, *, width: int = 5, similarity: float = 0.8,
-                 coordinates: int = 64, min_matches: int | None = None, prefix_matches: int = 3):
-        self.similarity, self.width = similarity, width
+                 coordinates: int = 64, min_matches: int | None = None, prefix_matches: int = 3, list_part: int = 1000):
+        self.similarity, self.width, self.list_part = similarity, width, list_part
         if min_matches is None:  # 3.3 standard deviations under the expected number of collisions
             expected = coordinates * similarity
             min_matches = int(expected - 3.3 * (expected * (1 - similarity)) ** 0.5 + 0.5)
@@ -120,12 +121,15 @@ class NearDuplicates:
         alone = F.lit(coordinates) - F.size("shared")
         prefix = cut_lineage(ordered.where(alone < self.prefix).select(
             "id", "size", F.explode(F.slice("shared", F.lit(1), (F.lit(self.prefix) - alone).cast("int"))).alias("p")
-        ).select("id", "size", F.col("p.element").alias("element")))
-        a, b = prefix.alias("a"), prefix.alias("b")
+        ).select("id", "size", F.col("p.element").alias("element"), F.ceil(F.col("p.length") / self.list_part).cast("int").alias("parts")))
+        # A long list is met in parts: one side stands in each part, the other in one.
+        a = prefix.select("element", "id", "size", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).alias("a")
+        b = prefix.select("element", "id", "size", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part")).alias("b")
         ratio = self.similarity
         hits = a.join(
             b,
             (F.col("a.element") == F.col("b.element"))
+            & (F.col("a.part") == F.col("b.part"))
             & (F.col("a.id") < F.col("b.id"))
             & (F.col("a.size") >= F.col("b.size") * ratio)
             & (F.col("b.size") >= F.col("a.size") * ratio),
@@ -149,8 +153,11 @@ class NearDuplicates:
     def pairs(self) -> DataFrame:
         """id_a < id_b of all alike records; copies are expanded."""
         byrep = self.members.join(self.classes, "set_key").select("id", "rep", "copies")
+        parts = F.ceil(F.col("copies") / self.list_part).cast("int")
         inside = byrep.where("copies > 1")
-        same = inside.alias("a").join(inside.alias("b"), (F.col("a.rep") == F.col("b.rep")) & (F.col("a.id") < F.col("b.id")))
+        x = inside.select("rep", "id", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).alias("a")
+        y = inside.select("rep", "id", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part")).alias("b")
+        same = x.join(y, (F.col("a.rep") == F.col("b.rep")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.id") < F.col("b.id")))
         same = same.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
         linked = self.class_pairs()
         m = byrep.select("id", "rep")

@@ -48,6 +48,12 @@ def test_pairs_against_brute_force(spark, rows, width, similarity):
     assert set(map(tuple, got)) == want
 
 
+def test_long_lists_are_joined_in_parts(spark, rows):
+    df = spark.createDataFrame(rows, "id long, body string")
+    whole, parts = (set(map(tuple, NearDuplicates(df, "id", F.col("body"), width=3, similarity=0.6, coordinates=32, list_part=p).pairs().collect())) for p in (1000, 7))
+    assert whole == parts == brute([(i, t or "") for i, t in rows], 3, 0.6)
+
+
 def test_groups_cover_every_record_with_shingles(spark, rows):
     df = spark.createDataFrame(rows, "id long, body string")
     near = NearDuplicates(df, "id", F.col("body"), width=3, similarity=0.6)
