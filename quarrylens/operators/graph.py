@@ -32,8 +32,8 @@ def resolve_in_repo(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def owners(points: DataFrame, spans: DataFrame, key: str, line: str, start: str, end: str, keep: str = "innermost") -> DataFrame:
-    """The span (id) that holds each point: an equi-join on the file with a range condition, then the latest or earliest start."""
+def owners(points: DataFrame, spans: DataFrame, key: list[str], line: str, start: str, end: str, keep: str = "innermost") -> DataFrame:
+    """The span (id) that holds each point: an equi-join on the key (repository and file) with a range condition, then the latest or earliest start."""
     order = F.col(start).desc() if keep == "innermost" else F.col(start).asc()
     both = points.join(spans, key).where((F.col(line) >= F.col(start)) & (F.col(line) <= F.col(end)))
     rank = F.row_number().over(W.partitionBy("point_id").orderBy(order, F.col("span_id")))
@@ -62,8 +62,7 @@ def paths(edges: DataFrame, entries: DataFrame, sinks: DataFrame, *, max_nodes:
     nodes; with ``all`` every simple path is kept and ``max_nodes`` bounds the depth. ``ahead`` follows only nodes from which a sink
     can still be reached within the bound; it loses no path, and deep searches need it.
     """
-    key = lambda c: F.lpad(F.col(c).cast("string"), 12, "0")
-    frontier = cut_lineage(entries.select(F.col("id").alias("entry"), F.col("id").alias("node"), F.array(key("id")).alias("path")).distinct())
+    frontier = cut_lineage(entries.select(F.col("id").alias("entry"), F.col("id").alias("node"), F.array("id").alias("path")).distinct())
     seen = frontier.select("entry", "node")
     found = None
     marks = sinks.select(F.col("id").alias("node")).distinct()
@@ -71,8 +70,8 @@ def paths(edges: DataFrame, entries: DataFrame, sinks: DataFrame, *, max_nodes:
         edges = _towards(edges, sinks, max_nodes - 2)
     for depth in range(2, max_nodes + 1):
         calls = edges.where(F.col("togo") <= max_nodes - depth) if ahead else edges
-        hop = frontier.join(calls, frontier.node == calls.src).where(~F.array_contains("path", key("dst"))).select(
-            "entry", F.col("dst").alias("node"), F.concat("path", F.array(key("dst"))).alias("path")
+        hop = frontier.join(calls, frontier.node == calls.src).where(~F.array_contains("path", F.col("dst"))).select(
+            "entry", F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path")
         )
         if keep == "shortest":
             hop = hop.groupBy("entry", "node").agg(F.min("path").alias("path")).join(seen, ["entry", "node"], "left_anti")
@@ -86,7 +85,7 @@ def paths(edges: DataFrame, entries: DataFrame, sinks: DataFrame, *, max_nodes:
         frontier = hop.join(marks, "node", "left_anti") if stop_at_sink else hop
     if found is None:
         found = frontier.limit(0).select("entry", F.col("node").alias("sink"), F.lit(0).alias("depth"), "path")
-    return found.select("entry", "sink", "depth", F.array_join("path", ">").alias("path"))
+    return found.select("entry", "sink", "depth", F.array_join(F.transform("path", lambda n: n.cast("string")), ">").alias("path"))
 
 
 def path_nodes(found: DataFrame) -> DataFrame:
@@ -101,12 +100,16 @@ def guards_of(found: DataFrame, edges: DataFrame, is_guard: Column) -> DataFrame
 
 
 def compare_siblings(found: DataFrame, guards: DataFrame) -> DataFrame:
-    """Paths that miss a guard which another path to the same sink has: missing guards and the share they are."""
-    wanted = found.select("sink", "path").join(guards, "path").select("sink", "guard").distinct()
-    several = found.groupBy("sink").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sink")
-    want = found.join(several, "sink").select("entry", "sink", "path").join(wanted, "sink")
-    missing = want.join(guards, ["path", "guard"], "left_anti").groupBy("entry", "sink", "path").agg(
-        F.array_join(F.array_sort(F.collect_set("guard")), ",").alias("missing"), F.countDistinct("guard").alias("n_missing")
+    """Paths that miss a guard which another path to the same sink has: missing guards and the share they are.
+
+    The guards of a path are an array, those of a sink the union of distinct arrays of its paths; a path is compared with its sink's
+    array, so no row stands for a path and a guard.
+    """
+    mine = guards.groupBy("path").agg(F.array_sort(F.collect_set("guard")).alias("own"))
+    with_own = found.join(mine, "path", "left").withColumn("own", F.coalesce("own", F.array().cast("array<string>")))
+    per_sink = with_own.groupBy("sink").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    union = with_own.select("sink", "own").distinct().select("sink", F.explode("own").alias("guard")).distinct().groupBy("sink").agg(
+        F.array_sort(F.collect_list("guard")).alias("every")
     )
-    total = wanted.groupBy("sink").agg(F.count(F.lit(1)).alias("n_all"))
-    return missing.join(total, "sink").select("entry", "sink", "path", "missing", (F.col("n_missing") / F.col("n_all")).alias("score"))
+    both = with_own.join(per_sink.join(union, "sink"), "sink").withColumn("missing", F.array_except("every", "own")).where("size(missing) > 0")
+    return both.select("entry", "sink", "path", F.array_join(F.array_sort("missing"), ",").alias("missing"), (F.size("missing") / F.size("every")).alias("score"))

@@ -96,15 +96,16 @@ def _owner_sql(order: str) -> str:
     return f"""
     SELECT vuln_id, node_id FROM (
       SELECT v.vuln_id, n.id AS node_id, row_number() OVER (PARTITION BY v.vuln_id ORDER BY n.start_line {order}, n.id) AS r
-      FROM vulns v JOIN nodes n ON n.file = replace(v.affected_file, chr(92), '/') AND v.affected_line BETWEEN n.start_line AND n.end_line) WHERE r = 1"""
+      FROM vulns v JOIN registry g ON g.id = v.candidate_id JOIN nodes n ON n.repo = g.package AND n.file = replace(v.affected_file, chr(92), '/') AND v.affected_line BETWEEN n.start_line AND n.end_line) WHERE r = 1"""
 
 
 def _owned(spark: SparkSession, d: str, keep: str) -> DataFrame:
-    points = table(spark, d, "vulns").where("affected_line is not null and affected_file is not null").select(
-        F.col("vuln_id").alias("point_id"), F.regexp_replace("affected_file", "\\\\", "/").alias("file"), "affected_line"
+    repos = table(spark, d, "registry").select(F.col("id").alias("candidate_id"), F.col("package").alias("repo"))
+    points = table(spark, d, "vulns").where("affected_line is not null and affected_file is not null").join(repos, "candidate_id").select(
+        F.col("vuln_id").alias("point_id"), "repo", F.regexp_replace("affected_file", "\\\\", "/").alias("file"), "affected_line"
     )
-    spans = table(spark, d, "nodes").where("start_line is not null and end_line is not null").select(F.col("id").alias("span_id"), "file", "start_line", "end_line")
-    return graph.owners(points, spans, "file", "affected_line", "start_line", "end_line", keep).select(
+    spans = table(spark, d, "nodes").where("start_line is not null and end_line is not null").select(F.col("id").alias("span_id"), "repo", "file", "start_line", "end_line")
+    return graph.owners(points, spans, ["repo", "file"], "affected_line", "start_line", "end_line", keep).select(
         F.col("point_id").alias("vuln_id"), F.col("span_id").alias("node_id")
     )
 
@@ -121,19 +122,22 @@ def line_owner_outer(spark: SparkSession, d: str) -> DataFrame:
     return _owned(spark, d, "outermost")
 
 
-_KEY = "lpad({c}::VARCHAR, 12, '0')"
 _ENTRY = "SELECT id FROM nodes WHERE is_entry"
 _SINK = "SELECT id FROM nodes WHERE is_sink"
 
 
-def _paths_sql(most: int, stop: bool) -> str:
-    """Every simple path, by recursion."""
-    halt = f"AND (length(p.path) = 12 OR p.node NOT IN ({_SINK}))" if stop else ""
+def _paths_list_sql(most: int, stop: bool) -> str:
+    """Every simple path as a list of ids, by recursion."""
+    halt = f"AND (len(p.path) = 1 OR p.node NOT IN ({_SINK}))" if stop else ""
     return f"""WITH RECURSIVE e AS ({_resolved('min')}),
-    p AS (SELECT id AS entry, id AS node, {_KEY.format(c='id')} AS path, 1 AS depth FROM ({_ENTRY})
-      UNION ALL SELECT p.entry, e.dst, p.path || '>' || {_KEY.format(c='e.dst')}, p.depth + 1 FROM p JOIN e ON e.src = p.node
-      WHERE p.depth < {most} AND NOT contains(p.path, {_KEY.format(c='e.dst')}) {halt})
-    SELECT entry, node AS sink, depth, path FROM p WHERE depth > 1 AND node IN ({_SINK})"""
+    p AS (SELECT id AS entry, id AS node, [id] AS path, 1 AS depth FROM ({_ENTRY})
+      UNION ALL SELECT p.entry, e.dst, list_append(p.path, e.dst), p.depth + 1 FROM p JOIN e ON e.src = p.node
+      WHERE p.depth < {most} AND NOT list_contains(p.path, e.dst) {halt})
+    SELECT entry, node AS sink, depth, path AS ids FROM p WHERE depth > 1 AND node IN ({_SINK})"""
+
+
+def _paths_sql(most: int, stop: bool) -> str:
+    return f"SELECT *, array_to_string(ids, '>') AS path FROM ({_paths_list_sql(most, stop)})"
 
 
 def _ends(spark: SparkSession, d: str):
@@ -146,17 +150,17 @@ def _paths(spark: SparkSession, d: str, **options) -> DataFrame:
 
 
 @query(f"""SELECT entry, sink, depth::INT AS depth, path FROM (
-      SELECT *, row_number() OVER (PARTITION BY entry, sink ORDER BY depth, path) AS r FROM ({_paths_sql(5, False)})) WHERE r = 1""")
+      SELECT *, row_number() OVER (PARTITION BY entry, sink ORDER BY depth, ids) AS r FROM ({_paths_sql(5, False)})) WHERE r = 1""")
 def paths_shortest(spark: SparkSession, d: str) -> DataFrame:
     """Shortest path of each entry and sink, through sinks, of at most five nodes."""
     return _paths(spark, d, max_nodes=5)
 
 
 @query(f"""SELECT entry, sink, depth::INT AS depth, path FROM (
-      SELECT *, row_number() OVER (PARTITION BY entry, sink ORDER BY depth, path) AS r FROM ({_paths_sql(6, True)})) WHERE r = 1""")
+      SELECT *, row_number() OVER (PARTITION BY entry, sink ORDER BY depth, ids) AS r FROM ({_paths_sql(6, True)})) WHERE r = 1""")
 def paths_to_first_sink(spark: SparkSession, d: str) -> DataFrame:
     """Shortest path of each entry and sink that passes no other sink."""
-    return funnel.cap_per(_paths(spark, d, max_nodes=6, stop_at_sink=True, keep="all"), ["entry", "sink"], [F.col("depth"), F.col("path")], 1)
+    return _paths(spark, d, max_nodes=6, stop_at_sink=True)
 
 
 @query()
@@ -251,12 +255,12 @@ def rebut_paths_full(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH p AS ({_paths_sql(5, False)})
     SELECT kind, sink, path FROM (SELECT coalesce(nullif(n.sink_kind, ''), 'none') AS kind, p.sink, p.path,
-      row_number() OVER (PARTITION BY coalesce(nullif(n.sink_kind, ''), 'none') ORDER BY p.depth, p.path) AS r FROM p JOIN nodes n ON n.id = p.sink) WHERE r = 1""")
+      row_number() OVER (PARTITION BY coalesce(nullif(n.sink_kind, ''), 'none') ORDER BY p.depth, p.path, p.sink) AS r FROM p JOIN nodes n ON n.id = p.sink) WHERE r = 1""")
 def representative_paths(spark: SparkSession, d: str) -> DataFrame:
     """The shortest path to each kind of sink."""
     kind = F.coalesce(F.nullif(F.col("sink_kind"), F.lit("")), F.lit("none")).alias("kind")
     found = _paths(spark, d, max_nodes=5).join(table(spark, d, "nodes").select(F.col("id").alias("sink"), kind), "sink")
-    best = F.min_by(F.struct("sink", "path"), F.struct("depth", "path")).alias("b")
+    best = F.min_by(F.struct("sink", "path"), F.struct("depth", "path", "sink")).alias("b")
     return found.groupBy("kind").agg(best).select("kind", "b.sink", "b.path")
 
 
