@@ -142,3 +142,12 @@ def test_comparison_to_eleven_nodes(spark, sf_dir):
     assert {r.path: r.missing for r in queries["compare_siblings_full"](spark, sf_dir).collect()} == want
     verdicts = {text(p): "gate on the path" if gates & set(p) else "guard called" if guards[p] else "survives" for p in found}
     assert {r.path: r.verdict for r in queries["rebut_paths_full"](spark, sf_dir).collect()} == verdicts
+
+
+def test_long_ids_stay_whole(spark):
+    big = 1234567890123
+    nodes = spark.createDataFrame([(1, "a", True, False), (big, "b", False, True), (big + 1, "c", False, True)], "id long, name string, is_entry boolean, is_sink boolean")
+    edges = spark.createDataFrame([(1, "b"), (1, "c"), (big, "c")], "caller_id long, callee_name string")
+    found = graph.paths(graph.resolve(nodes, edges), nodes.where("is_entry"), nodes.where("is_sink"), max_nodes=4, keep="all")
+    assert sorted(r.path for r in found.collect()) == [f"1>{big}", f"1>{big + 1}", f"1>{big}>{big + 1}"]
+    assert {r.node for r in graph.path_nodes(found).collect()} == {1, big, big + 1}

@@ -63,3 +63,40 @@ def test_split_outputs_partition_the_input(spark, tmp_path):
     files.write_split(df, F.col("ok"), str(tmp_path))
     parts = [spark.read.json(f"{tmp_path}/{p}").count() for p in ("survivors", "rejected")]
     assert parts == [1, 2]
+
+
+def test_syntax_scores_chunks_and_scripts(spark):
+    long_method = "class Box:\n    def is_valid(self, value):\n" + "        value = value.strip()\n" * 6 + "        return value.startswith('x')\n"
+    many = "".join(f"import module_{i:02d}\n" for i in range(20)) + "import socket\n"
+    df = spark.createDataFrame([(1, "import os\n" + long_method), (2, many), (3, "import box.core\nx = 1"), (4, "def f(:"), (5, None)], "id long, code string")
+    trees = syntax.python_functions(df, "id", "code")
+    box = trees.where("id = 1").first()
+    assert (box.score, box.intent, box.decides, box.parses, box.takes_input) == (7.5 - 0.5 + 0.0 + 0.5, True, True, True, True)
+    both = {(r.kind, r.name, r.context) for r in syntax.chunks(trees, twice=True).collect()}
+    assert both == {("method", "Box.is_valid", "os\n\n" + "\n".join(long_method.split("\n")[:8])), ("function", "is_valid", "os")}
+    scripts = {r.id: r for r in syntax.vetted(syntax.python_scripts(df, "id", "code"), ["socket"]).collect()}
+    assert {i: r.blocked for i, r in scripts.items()} == {1: False, 2: True, 3: False, 4: True} and len(scripts[2].imports) == 21
+
+
+def test_sinks_blocks_and_hints(spark):
+    from quarrylens import dims
+    from quarrylens.operators import static
+
+    code = "x = 1\n" * 7 + "os.system(cmd)\nmyos.system(cmd)\ntheir.system(cmd)\ncursor.execute(q)\n"
+    df = spark.createDataFrame([(1, code), (2, ""), (3, None), (4, "y = 2")], "id int, code string")
+    hits = {(r.vuln_type, r.sink_name, r.line) for r in static.match_sinks(static.line_calls(df, "id", "code"), dims.PY_SINKS).collect()}
+    assert hits == {("RCE", "os.system", 8), ("RCE", "os.system", 9), ("SQLI", "execute", 11)}
+    js = spark.createDataFrame([(1, "function login(a) {\n  if (a) {\n    eval(a)\n  }\n}\nconst f = (b) => b\n")], "id int, code string")
+    got = [(r.name, r.start_line, r.end_line) for r in static.brace_functions(js, "id", "code", dims.JS_FUNCTION).orderBy("start_line").collect()]
+    assert got == [("login", 1, 5), ("if", 2, 4), ("f", 6, 6)]
+    secret = static.pattern_hits(spark.createDataFrame([(1, "a\nSECRET = 'abcdef'\n")], "id int, code string"), "id", "code", dims.JS_SINKS).collect()
+    assert [(r.vuln_type, r.line, r.match) for r in secret] == [("HARDCODED_SECRET", 2, "SECRET = 'abcdef'")]
+
+
+def test_report_documents_hold_every_finding_once(spark, sf_dir):
+    from quarrylens.operators import emit
+    from quarrylens.session import table
+
+    v = table(spark, sf_dir, "vulns")
+    ids = [r["properties"]["vuln_id"] for d in emit.documents(v, 100).collect() for r in json.loads(d.document)["runs"][0]["results"]]
+    assert sorted(ids) == sorted(r.vuln_id for r in v.select("vuln_id").collect())
