@@ -99,7 +99,7 @@ def search(spark, sf_dir):
 
 
 def text(path):
-    return ">".join(str(n).zfill(12) for n in path)
+    return ">".join(map(str, path))
 
 
 def test_first_sink_to_nine_nodes(spark, sf_dir):
