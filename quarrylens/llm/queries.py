@@ -29,6 +29,10 @@ def p1_shares(spark: SparkSession, d: str) -> DataFrame:
     return truncation.cut_shares(values, truncation.judge(values))
 
 
+def p1_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.evidence(truncation.judge(_stored_texts(spark, d)))
+
+
 def _vuln_duplicates(spark: SparkSession, d: str) -> neardup.NearDuplicates:
     """Three words and 0.6, as the data description fixes them for this table; 32 coordinates are enough for 3.3 standard deviations."""
     text = neardup.joined_fields("description", "root_cause", "affected_file")
@@ -145,7 +149,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_shares": p1_shares,
+    "p1_found": p1_found, "p1_shares": p1_shares, "p1_evidence": p1_evidence,
     "p2_found": p2_found, "p2_groups": p2_groups, "p2_class_pairs": p2_class_pairs,
     "p3_found": p3_found, "p3_redacted": p3_redacted,
     "p4_found": p4_found, "p4_hand_written": p4_hand_written,

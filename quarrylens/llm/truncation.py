@@ -5,13 +5,13 @@ The whole corpus is counted once: its words (components of identifiers included)
 becomes a prefix table, the trie laid out as rows: every proper prefix of a known word. It is joined with the last
 word of every text.
 
-A text counts as cut if, without a mark of its own that says so,
+Evidence is added to a score, and a text counts as cut from a threshold on, if
 
 * it leaves a structure open (code fence, JSON object, back quote, string, bracket, block without a body),
 * its last word is unknown elsewhere and a proper prefix of known words,
 * its last word, in its place, occurs often enough elsewhere but (almost) never ends anything there, or
-* its length is the length at which its table and source cut (a spike in the histogram of lengths, in characters or
-  bytes) and its end isn't one that texts usually have.
+* its length is one at which its table and source cut (a spike in the histogram of lengths of distinct texts, in characters or
+  bytes; all spikes of a source count) and its end isn't one that texts usually have.
 
 Texts that end with a mark such as ``[truncated]`` count as cut; three dots alone are only looked through.
 
@@ -46,6 +46,7 @@ _MARK = re.compile(
     r"|[\[(<]\s*\d+ (?:more )?(?:bytes|chars|characters|lines)(?: more| omitted| left| truncated)?\s*[\])>])\s*$",
     re.IGNORECASE,
 )
+_MARK_ENDS = ("]", ")", ">", "-")  # what a mark can end with
 _DOTS = re.compile(r"(?:…|\.{3})\s*$")
 _LIST_ITEM = re.compile(r"^[ \t]*(?:[-*+]|\d+[.)])[ \t]+(?=\S)(.*)$", re.MULTILINE)
 _MIXED = re.compile(r"\d[^\W\d_]|[^\W\d_]\d")
@@ -266,6 +267,20 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield counted(_mixed(done.view(np.uint64), np.full(len(done), _code("") & ~1, dtype=np.uint64)), "ends")
 
 
+def _last_words(body: str) -> list[str]:
+    """The last words of a text with what stands between them, from as far back as two whole words need."""
+    reach = 300
+    while True:
+        begin = max(0, len(body) - reach)
+        begin = body.find(" ", begin) if begin else 0
+        split = _WORD.split(body[max(begin, 0) :]) if begin >= 0 else []
+        if begin == 0 or len(split) >= 5:
+            return split
+        reach = reach * 4 if reach < len(body) else len(body)
+        if reach >= len(body):
+            return _WORD.split(body)
+
+
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = [c.split()[0] for c in _FEATURES.split(", ")][:-4]
     for pdf in batches:
@@ -274,9 +289,7 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             body = text.rstrip()
             newline = "\n" in text[len(body) :]
             part, closed, sentence, number, keys = "", False, False, 0, (0, 0, 0, 0, 0)
-            begin = max(0, len(body) - 300)
-            begin = max(begin, body.find(" ", begin)) if begin else 0
-            split = _WORD.split(body[begin:])
+            split = _last_words(body)
             dots = bool(_DOTS.search(body[-4:]))
             if len(split) > 1:
                 word, behind = split[-2], split[-1]
@@ -296,7 +309,7 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             items.append(number)
             rows.append((
                 tbl, row, source, len(text), len(text) if text.isascii() else len(text.encode("utf-8", "replace")),
-                bool(_MARK.search(text[-100:])), open_structure(_DOTS.sub("", body) if dots else body, code), newline,
+                body[-1:] in _MARK_ENDS and bool(_MARK.search(body)), open_structure(_DOTS.sub("", body) if dots else body, code), newline,
                 sentence, closed, part, xxhash.xxh3_64_intdigest(text) - (1 << 63),
             ))
         out = pd.DataFrame(rows, columns=columns)
@@ -325,7 +338,7 @@ def _by_source(column: str = "source"):
     return F.coalesce(F.col(column), F.lit(_NO_SOURCE))
 
 
-def length_limits(rows: DataFrame, least: int = 100, spike: float = 8.0) -> DataFrame:
+def length_limits(rows: DataFrame, least: int = 40, spike: float = 8.0) -> DataFrame:
     """tbl, by, unit, len: all lengths that far more distinct texts of a source have than its other lengths do."""
     units = F.map_from_arrays(F.array(F.lit("chars"), F.lit("bytes")), F.array("chars", "bytes"))
     once = rows.select("tbl", _by_source().alias("by"), "chars", "bytes", "hash").distinct()
@@ -340,8 +353,8 @@ def length_limits(rows: DataFrame, least: int = 100, spike: float = 8.0) -> Data
 
 
 def judge(values: DataFrame, *, rare: int = 5, known: int = 2, never: float = 0.01, seldom: float = 0.5,
-          usual_share: float = 0.003) -> DataFrame:
-    """tbl, row_id, source, cut, why for ``values`` (tbl, row_id, source, text, code)."""
+          usual_share: float = 0.003, enough: float = 2.0) -> DataFrame:
+    """tbl, row_id, source, cut, why, score and its parts for ``values`` (tbl, row_id, source, text, code)."""
     texts = values.where(F.length(F.trim("text")) > 0).select(
         "tbl", F.col("row_id").cast("long").alias("row_id"), "source", "text", "code"
     )
@@ -378,16 +391,35 @@ def judge(values: DataFrame, *, rare: int = 5, known: int = 2, never: float = 0.
     at_limit = F.coalesce("limit_chars", "limit_bytes", F.lit(False))
     unknown = (F.col("part") != "") & (zero("longer") > 0) & F.col("word_n").isNull()
     misplaced = (F.length("part").between(1, 3)) & (zero("longer") >= 3) & (zero("n2") < rare)
+    # Evidence adds up; a text is cut from ``enough`` on. An end that texts usually have speaks against all but structure and marks.
+    complete = F.col("sentence") | F.col("newline") | usual
+    rarely_ends = F.coalesce((share < never) & ~F.col("closed"), F.lit(False))
+    unsure = F.coalesce((share < seldom), F.lit(True)) & ~F.col("closed")
+    parts = {
+        "mark": F.when(F.col("mark"), 5.0), "structure": F.when(F.col("open") != "", 4.0),
+        "trie": F.when(~complete & unknown, 3.0).when(~complete & misplaced, 2.5), "place": F.when(~complete & rarely_ends, 3.0),
+        "length": F.when(~complete & at_limit & unsure, 2.0).when(~complete & at_limit, 1.0),
+    }
+    scored = out.select(
+        "tbl", "row_id", "source", *(F.coalesce(e, F.lit(0.0)).alias(k) for k, e in parts.items()), share.alias("share"), at_limit.alias("at_limit"),
+        F.when(F.col("open") != "", F.col("open")).alias("open"), (unknown & ~complete).alias("unknown"),
+    )
+    total = sum((F.col(k) for k in parts), F.lit(0.0))
     why = (
-        F.when(F.col("mark"), "mark")
-        .when(F.col("open") != "", F.col("open"))
-        .when(F.col("sentence") | F.col("newline") | usual, None)
-        .when(unknown | misplaced, "fragment")
-        .when((share < never) & ~F.col("closed"), "continues")
-        .when(at_limit & ~F.col("closed") & (share.isNull() | (share < seldom)), "limit")
+        F.when(F.col("mark") > 0, "mark").when(F.col("structure") > 0, F.col("open")).when(F.col("unknown"), "fragment").when(F.col("trie") > 0, "misplaced")
+        .when(F.col("place") > 0, "continues").otherwise("limit")
     )
-    return out.select("tbl", "row_id", "source", why.alias("why"), share.alias("share"), at_limit.alias("at_limit")).withColumn(
-        "cut", F.col("why").isNotNull()
+    return scored.withColumn("score", total).withColumn("cut", total >= enough).select(
+        "tbl", "row_id", "source", F.when(F.col("cut"), why).alias("why"), "share", "at_limit", *parts, "score", "cut"
+    )
+
+
+def evidence(judged: DataFrame) -> DataFrame:
+    """Per table and strongest sign: cut rows, and how many of them the trie, the place of the last word and the length speak for."""
+    return judged.where("cut").groupBy("tbl", "why").agg(
+        F.count(F.lit(1)).alias("cut_rows"), F.count_if(F.col("trie") > 0).alias("by_trie"), F.count_if(F.col("place") > 0).alias("by_place"),
+        F.count_if(F.col("length") > 0).alias("by_length"), F.count_if((F.col("trie") > 0) & (F.col("length") > 0)).alias("by_trie_and_length"),
+        F.round(F.avg("score"), 4).alias("mean_score"),
     )
 
 

@@ -62,3 +62,10 @@ def test_every_length_limit_and_copies(spark):
     got = {r.row_id: r.at_limit for r in truncation.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert all(got[i] for i in range(40)) and all(got[100 + i] for i in range(40))
     assert not any(got[200 + i] for i in range(90)) and sum(got[300 + i] for i in range(60)) == 0
+
+
+def test_last_words_reach_back_as_far_as_needed():
+    from quarrylens.llm.truncation import _WORD, _last_words
+
+    for body in ("", "one", "a b c d e f", "x " * 500 + "tail", "first " + "y" * 2000, "first second " + "z" * 5000 + " w" * 3, "." * 900 + " end"):
+        assert _last_words(body)[-4:] == _WORD.split(body)[-4:], body[:30]
