@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens import dims
 from quarrylens.functions import text as T
+from quarrylens.operators import running
 
 
 def line_windows(df: DataFrame, id_col: str, code: str, size: int = dims.CHUNK_WINDOW, overlap: int = dims.CHUNK_OVERLAP) -> DataFrame:
@@ -53,7 +53,6 @@ def brace_blocks(df: DataFrame, id_col: str, code: str, most: int = 60) -> DataF
     )
 
 
-def within_budget(df: DataFrame, group: str, order: list[str], size: str, budget: int) -> DataFrame:
-    """Rows of each group, in order, until the running size exceeds the budget; the row that crosses it still counts."""
-    before = W.partitionBy(group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return df.withColumn("used_before", F.coalesce(F.sum(size).over(before), F.lit(0))).where(F.col("used_before") < budget)
+def within_budget(df: DataFrame, group: str, order: list[str], size: str, budget: int, piece: Column) -> DataFrame:
+    """Rows of each group, in order, until the running size exceeds the budget; the row that crosses it still counts. ``piece`` rises with the order."""
+    return running.sum_before(df, [group], order, piece, F.col(size), "used_before").where(F.col("used_before") < budget)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylens import dims
+from quarrylens.operators import running
 
 
 def cap_per(df: DataFrame, group: list[str], order: list[Column], most: int) -> DataFrame:
@@ -21,11 +22,9 @@ def latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(best).select(key, *(F.col(f"best.{c}") for c in (*order, *rest)))
 
 
-def running_budget(df: DataFrame, group: str, order: list[str], cost: str, limit: int, warn: float = 0.8) -> DataFrame:
-    """What was spent before each row, whether it still runs (the row that crosses the limit does) and whether it warns."""
-    before = W.partitionBy(group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    spent = F.coalesce(F.sum(cost).over(before), F.lit(0))
-    return df.withColumn("spent_before", spent).withColumn("runs", F.col("spent_before") < limit).withColumn(
+def running_budget(df: DataFrame, group: str, order: list[str], cost: str, limit: int, piece: Column, warn: float = 0.8) -> DataFrame:
+    """What was spent before each row, whether it still runs (the row that crosses the limit does) and whether it warns. ``piece`` rises with the order."""
+    return running.sum_before(df, [group], order, piece, F.col(cost), "spent_before").withColumn("runs", F.col("spent_before") < limit).withColumn(
         "warns", F.col("spent_before") >= limit * warn
     )
 

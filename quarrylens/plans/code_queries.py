@@ -192,7 +192,7 @@ def chunk_brace_blocks(spark: SparkSession, d: str) -> DataFrame:
 def chunk_budget(spark: SparkSession, d: str) -> DataFrame:
     """Functions of a repository, in order, that fit a budget of characters."""
     rows = table(spark, d, "nodes").where("code <> ''").select("id", "repo", F.length("code").alias("n"))
-    return chunks.within_budget(rows, "repo", ["id"], "n", 8000).select("id", "repo", "used_before")
+    return chunks.within_budget(rows, "repo", ["id"], "n", 8000, F.floor(F.col("id") / 1000)).select("id", "repo", "used_before")
 
 
 @query("""

@@ -6,9 +6,9 @@ import glob
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarrylens.operators import running
 from quarrylens.session import table
 from quarrylens.streaming import streams
 
@@ -29,8 +29,9 @@ def query(sql: str | None = None):
     SELECT event_type, next_type, count(*) AS n FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_type FROM events) WHERE next_type IS NOT NULL GROUP BY 1, 2""")
 def event_transitions(spark: SparkSession, d: str) -> DataFrame:
     """Which event follows which, per user."""
-    nxt = F.lead("event_type").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(spark, d, "events").select("event_type", nxt.alias("next_type")).where("next_type is not null").groupBy("event_type", "next_type").agg(F.count(F.lit(1)).alias("n"))
+    rows = running.previous(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], F.date_trunc("day", "ts"), ["event_type"], "before")
+    pairs = rows.where("before is not null").select(F.col("before.event_type").alias("event_type"), F.col("event_type").alias("next_type"))
+    return pairs.where("next_type is not null").groupBy("event_type", "next_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""
@@ -39,11 +40,13 @@ def event_transitions(spark: SparkSession, d: str) -> DataFrame:
         SELECT user_id, event_id, ts, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events)) GROUP BY 1, 2""")
 def event_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Events of a user less than half an hour apart."""
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    e = table(spark, d, "events").select("user_id", "event_id", "ts", (seconds - F.lag(seconds).over(w)).alias("gap"))
-    session = F.sum(F.when(F.col("gap").isNull() | (F.col("gap") > 1800), 1).otherwise(0)).over(w)
-    return e.withColumn("session", session).groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("events"), F.min("event_id").alias("first_id"))
+    day, order = F.date_trunc("day", "ts"), ["ts", "event_id"]
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    e = running.previous(table(spark, d, "events").select("user_id", "event_id", "ts"), ["user_id"], order, day, ["ts"], "before")
+    begins = F.when(F.col("before.ts").isNull() | (seconds("ts") - seconds("before.ts") > 1800), 1).otherwise(0)
+    e = e.select("user_id", "event_id", "ts", begins.alias("begins"))
+    numbered = running.sum_before(e, ["user_id"], order, day, F.col("begins"), "earlier").withColumn("session", F.col("earlier") + F.col("begins"))
+    return numbered.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("events"), F.min("event_id").alias("first_id"))
 
 
 def _events_path(d: str) -> str:

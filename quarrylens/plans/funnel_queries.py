@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylens import dims
 from quarrylens.functions import text as T
-from quarrylens.operators import emit, funnel
+from quarrylens.operators import emit, funnel, running
 from quarrylens.session import table
 
 QUERIES, ORACLE = {}, {}
@@ -183,7 +182,7 @@ def running_budget(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "poc_results").where("ran_at is not null").select(
         "run_id", "source", "ran_at", F.floor(F.length(F.coalesce("stdout", F.lit(""))) / 4).cast("int").alias("cost")
     )
-    return funnel.running_budget(rows, "source", ["ran_at", "run_id"], "cost", 20000).drop("ran_at")
+    return funnel.running_budget(rows, "source", ["ran_at", "run_id"], "cost", 20000, F.date_trunc("hour", "ran_at")).drop("ran_at")
 
 
 @query("""
@@ -207,8 +206,9 @@ def last_reviews(spark: SparkSession, d: str) -> DataFrame:
     SELECT vuln_id, candidate_id, ((row_number() OVER (PARTITION BY candidate_id ORDER BY vuln_id) - 1) // 6)::INT AS batch, row_number() OVER (PARTITION BY candidate_id ORDER BY vuln_id)::INT AS place FROM vulns""")
 def micro_batches(spark: SparkSession, d: str) -> DataFrame:
     """Findings of a package in batches of six, with dense places."""
-    place = F.row_number().over(W.partitionBy("candidate_id").orderBy("vuln_id"))
-    return table(spark, d, "vulns").select("vuln_id", "candidate_id", place.alias("place")).select(
+    rows = table(spark, d, "vulns").select("vuln_id", "candidate_id")
+    place = running.sum_before(rows, ["candidate_id"], ["vuln_id"], F.floor(F.col("vuln_id") / 1000), F.lit(1), "before")
+    return place.select("vuln_id", "candidate_id", (F.col("before") + 1).cast("int").alias("place")).select(
         "vuln_id", "candidate_id", F.floor((F.col("place") - 1) / 6).cast("int").alias("batch"), "place"
     )
 
