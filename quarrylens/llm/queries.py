@@ -162,14 +162,35 @@ QUERIES = {
 _WORDS = "regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+')"
 _RUNS = "list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i : i + {k} - 1], ' '))"
 
-ORACLE = {
-    "p2_found": f"""
-        WITH w AS (SELECT vuln_id, {_WORDS.format(c="concat_ws(' ', coalesce(description, ''), coalesce(root_cause, ''), coalesce(affected_file, ''))")} AS w FROM vulns),
+_SHINGLES = f"""w AS (SELECT vuln_id, {_WORDS.format(c="concat_ws(' ', coalesce(description, ''), coalesce(root_cause, ''), coalesce(affected_file, ''))")} AS w FROM vulns),
         s AS (SELECT DISTINCT vuln_id, unnest({_RUNS.format(k=3)}) AS s FROM w WHERE len(w) >= 3),
         n AS (SELECT vuln_id, count(*) AS n FROM s GROUP BY 1),
-        c AS (SELECT a.vuln_id AS a, b.vuln_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.vuln_id < b.vuln_id GROUP BY 1, 2)
-        SELECT a AS vuln_id_a, b AS vuln_id_b FROM c JOIN n x ON x.vuln_id = a JOIN n y ON y.vuln_id = b WHERE c >= 0.6 * (x.n + y.n - c)
+        c AS (SELECT a.vuln_id AS a, b.vuln_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.vuln_id < b.vuln_id GROUP BY 1, 2),
+        p AS (SELECT a, b, c / (x.n + y.n - c) AS similarity FROM c JOIN n x ON x.vuln_id = a JOIN n y ON y.vuln_id = b WHERE c >= 0.6 * (x.n + y.n - c))"""
+
+ORACLE = {
+    "p2_class_pairs": f"""
+        WITH {_SHINGLES}, k AS (SELECT vuln_id, list_sort(list(s)) AS key FROM s GROUP BY 1), r AS (SELECT min(vuln_id) AS rep FROM k GROUP BY key)
+        SELECT a AS vuln_id_a, b AS vuln_id_b, round(similarity, 6) AS similarity FROM p WHERE a IN (SELECT rep FROM r) AND b IN (SELECT rep FROM r)
+    """,
+    "p2_groups": f"""
+        WITH RECURSIVE {_SHINGLES}, e AS (SELECT a AS u, b AS v FROM p UNION ALL SELECT b, a FROM p),
+        reach AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM reach r JOIN e ON e.u = r.v)
+        SELECT n.vuln_id, coalesce((SELECT min(v) FROM reach WHERE u = n.vuln_id), n.vuln_id) AS group_id, (SELECT count(*) FROM e WHERE u = n.vuln_id) AS links FROM n
+    """,
+    "p6_items": f"""
+        WITH d AS (SELECT doc_id, {_WORDS.format(c='text')} AS w FROM documents), i AS (SELECT item_id, {_WORDS.format(c='text')} AS w FROM holdout_items),
+        dr AS (SELECT doc_id, p, array_to_string(w[p : p + 11], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS p FROM d WHERE len(w) >= 12)),
+        ir AS (SELECT item_id, p, array_to_string(w[p : p + 11], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS p FROM i WHERE len(w) >= 12)),
+        m AS (SELECT DISTINCT doc_id, item_id, dr.p - ir.p AS shift, ir.p AS p FROM dr JOIN ir USING (run)),
+        g AS (SELECT doc_id, item_id, shift, p - row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY p) AS island FROM m),
+        r AS (SELECT doc_id, item_id, count(*) + 11 AS run FROM g GROUP BY doc_id, item_id, shift, island),
+        t AS (SELECT item_id, count(DISTINCT doc_id) AS documents, max(run) AS longest FROM r GROUP BY 1)
+        SELECT h.item_id, h.task, h.lang, coalesce(t.documents, 0) AS documents, coalesce(t.longest, 0)::INT AS longest_run,
+          round(coalesce(t.longest / len(i.w), 0.0), 4)::DOUBLE AS covered
+        FROM holdout_items h JOIN i USING (item_id) LEFT JOIN t USING (item_id)
     """,
+    "p2_found": f"WITH {_SHINGLES} SELECT a AS vuln_id_a, b AS vuln_id_b FROM p",
     "p5_found": """
         SELECT t.tbl, t.row_id FROM (
             SELECT 'nodes' AS tbl, id AS row_id, code FROM nodes
