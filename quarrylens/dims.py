@@ -7,7 +7,10 @@ LANGUAGES = {
     "py": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript",
     "tsx": "typescript", "go": "go", "rb": "ruby", "java": "java", "php": "php", "rs": "rust", "c": "c", "cpp": "cpp", "cs": "csharp",
 }
-SKIP_DIRS = ["node_modules", "vendor", "dist", "build", ".git", "__pycache__", "tests", "test", "site-packages", "fixtures"]
+SKIP_DIRS = [
+    ".git", "__pycache__", "node_modules", "dist", "build", "test", "tests", "spec", ".venv", "venv", "vendor", "migrations", "fuzz", "scripts", "docs", "examples", "benchmark",
+    "benchmarks", "site-packages", "fixtures",
+]
 
 # Regular expressions that read alike in Java, Python and RE2: ASCII classes, no look-around.
 SOURCE_PATTERNS = {

@@ -100,16 +100,18 @@ def guards_of(found: DataFrame, edges: DataFrame, is_guard: Column) -> DataFrame
 
 
 def compare_siblings(found: DataFrame, guards: DataFrame) -> DataFrame:
-    """Paths that miss a guard which another path to the same sink has: missing guards and the share they are.
+    """Paths that miss a guard which another path to the same sink has: missing guards, the share they are, and the first path that has one.
 
-    The guards of a path are an array, those of a sink the union of distinct arrays of its paths; a path is compared with its sink's
-    array, so no row stands for a path and a guard.
+    The guards of a path are an array, those of a sink the union over its paths with the first path of each; a path is compared with its
+    sink's array, so no row stands for a path and a guard, and paths never meet paths.
     """
     mine = guards.groupBy("path").agg(F.array_sort(F.collect_set("guard")).alias("own"))
     with_own = found.join(mine, "path", "left").withColumn("own", F.coalesce("own", F.array().cast("array<string>")))
     per_sink = with_own.groupBy("sink").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    union = with_own.select("sink", "own").distinct().select("sink", F.explode("own").alias("guard")).distinct().groupBy("sink").agg(
-        F.array_sort(F.collect_list("guard")).alias("every")
+    first = with_own.select("sink", "path", F.explode("own").alias("guard")).groupBy("sink", "guard").agg(F.min("path").alias("by"))
+    union = first.groupBy("sink").agg(F.array_sort(F.collect_list(F.struct("guard", "by"))).alias("every"))
+    both = with_own.join(per_sink.join(union, "sink"), "sink").withColumn("missing", F.filter("every", lambda e: ~F.array_contains(F.col("own"), e.guard)))
+    return both.where("size(missing) > 0").select(
+        "entry", "sink", "path", F.array_join(F.transform("missing", lambda e: e.guard), ",").alias("missing"), (F.size("missing") / F.size("every")).alias("score"),
+        F.array_min(F.transform("missing", lambda e: e.by)).alias("sibling"),
     )
-    both = with_own.join(per_sink.join(union, "sink"), "sink").withColumn("missing", F.array_except("every", "own")).where("size(missing) > 0")
-    return both.select("entry", "sink", "path", F.array_join(F.array_sort("missing"), ",").alias("missing"), (F.size("missing") / F.size("every")).alias("score"))

@@ -244,13 +244,16 @@ def result_rows(spark: SparkSession, d: str) -> DataFrame:
     return emit.result_rows(table(spark, d, "vulns"))
 
 
-@query()
+@query(f"""
+    SELECT vuln_id, replace(to_json({{'ruleId': rule_id, 'level': level, 'message': {{'text': message}}, 'locations': [{{'physicalLocation': {{'artifactLocation': {{'uri': uri}}, 'region': {{'startLine': start_line}}}}}}]}})::VARCHAR,
+      '{{"uri":null}}', '{{}}') AS result FROM ({ORACLE['result_rows']})""")
 def result_json(spark: SparkSession, d: str) -> DataFrame:
     """Findings as nested JSON results."""
     return emit.result_json(emit.result_rows(table(spark, d, "vulns")))
 
 
-@query()
+@query(f"""
+    SELECT vuln_id, concat_ws(chr(10), '## ' || rule_id || ' (' || level || ')', '', '- file: `' || coalesce(uri, 'unknown') || ':' || start_line || '`', '', message) AS section FROM ({ORACLE['result_rows']})""")
 def report_sections(spark: SparkSession, d: str) -> DataFrame:
     """Findings as Markdown sections."""
     return emit.markdown(emit.result_rows(table(spark, d, "vulns")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylens import dims
@@ -169,6 +170,59 @@ def paths_to_first_sink_full(spark: SparkSession, d: str) -> DataFrame:
     return _paths(spark, d, max_nodes=9, stop_at_sink=True, ahead=True)
 
 
+_UNTESTED = "regexp_matches(lower(coalesce(file, '')), '(^|/)(tests?|spec|conftest)(/|_|\\.)|_test\\.|/test_') OR starts_with(coalesce(name, ''), 'test_') OR ends_with(coalesce(name, ''), '_test')"
+
+
+@query(f"""SELECT entry, sink, depth::INT AS depth, path FROM (
+      SELECT *, row_number() OVER (PARTITION BY entry, sink ORDER BY depth, ids) AS r FROM ({_paths_sql(6, True)})) WHERE r = 1 AND entry NOT IN (SELECT id FROM nodes WHERE {_UNTESTED})""")
+def paths_from_untested(spark: SparkSession, d: str) -> DataFrame:
+    """paths_to_first_sink from entries that are no tests."""
+    n = table(spark, d, "nodes")
+    tests = F.lower(F.coalesce("file", F.lit(""))).rlike("(^|/)(tests?|spec|conftest)(/|_|\\.)|_test\\.|/test_") | F.coalesce("name", F.lit("")).startswith("test_") | F.coalesce("name", F.lit("")).endswith("_test")
+    return graph.paths(cut_lineage(_edges(spark, d)), n.where(F.col("is_entry") & ~tests).select("id"), _ends(spark, d)[1], max_nodes=6, stop_at_sink=True)
+
+
+@query("""
+    SELECT caller_id, callee_name, r::INT AS place FROM (SELECT caller_id, callee_name, row_number() OVER (PARTITION BY caller_id ORDER BY callee_name) AS r
+      FROM (SELECT DISTINCT caller_id, callee_name FROM edges WHERE callee_name <> '')) WHERE r <= 50""")
+def callee_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Up to fifty distinct callees of each function."""
+    e = table(spark, d, "edges").where("callee_name <> ''").select("caller_id", "callee_name").distinct()
+    return e.withColumn("place", F.row_number().over(W.partitionBy("caller_id").orderBy("callee_name"))).where("place <= 50")
+
+
+@query("""
+    SELECT name, id, repo, file, tags FROM (SELECT name, id, repo, file, concat_ws(',', CASE WHEN is_entry THEN 'entry' END, CASE WHEN is_gate THEN 'gate' END, CASE WHEN is_sink THEN 'sink' END) AS tags,
+      row_number() OVER (PARTITION BY name ORDER BY id) AS r FROM nodes WHERE name <> '') WHERE r <= 5""")
+def function_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Up to five functions of each name with their tags."""
+    n = table(spark, d, "nodes").where("name <> ''")
+    tags = F.concat_ws(",", *(F.when(F.col(f"is_{t}"), t) for t in ("entry", "gate", "sink")))
+    return funnel.cap_per(n.select("name", "id", "repo", "file", tags.alias("tags")), ["name"], [F.col("id")], 5)
+
+
+_PATH_PARTS = f"""p AS (SELECT entry, sink, ids, path FROM (SELECT *, row_number() OVER (PARTITION BY entry, sink ORDER BY depth, ids) AS r FROM ({_paths_sql(5, False)})) WHERE r = 1),
+    m AS (SELECT entry, sink, path, ids, unnest(range(1, len(ids) + 1)) AS k FROM p),
+    h AS (SELECT m.entry, m.sink, m.path, m.k, length(coalesce(n.name, '') || coalesce(n.file, '')) + 40 AS head, length(coalesce(n.code, '')) AS size FROM m JOIN nodes n ON n.id = m.ids[m.k]),
+    s AS (SELECT *, coalesce(sum(head + size) OVER (PARTITION BY entry, sink ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM h)"""
+
+
+@query(f"""WITH {_PATH_PARTS}
+    SELECT entry, sink, path, count(*) AS parts, sum(least(size, 8000 - used - head))::BIGINT AS code_chars FROM s WHERE used + head + 200 <= 8000 GROUP BY 1, 2, 3""")
+def path_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """How much code of a path's functions, in order, fits a prompt of 8,000 characters: a part needs its header and 200 more, the last one is cut."""
+    found = _paths(spark, d, max_nodes=5)
+    m = found.select("entry", "sink", "path", F.posexplode(F.split("path", ">")).alias("k", "node"))
+    n = table(spark, d, "nodes").select(
+        F.col("id").alias("node"), (F.length(F.concat(F.coalesce("name", F.lit("")), F.coalesce("file", F.lit("")))) + 40).alias("head"), F.length(F.coalesce("code", F.lit(""))).alias("size")
+    )
+    before = W.partitionBy("entry", "sink").orderBy("k").rowsBetween(W.unboundedPreceding, -1)  # at most five rows
+    s = m.withColumn("node", F.col("node").cast("long")).join(n, "node").withColumn("used", F.coalesce(F.sum(F.col("head") + F.col("size")).over(before), F.lit(0)))
+    return s.where("used + head + 200 <= 8000").groupBy("entry", "sink", "path").agg(
+        F.count(F.lit(1)).alias("parts"), F.sum(F.least("size", 8000 - F.col("used") - F.col("head"))).cast("long").alias("code_chars")
+    )
+
+
 @query(f"SELECT entry, sink, depth::INT AS depth, path FROM ({_paths_sql(6, False)})")
 def paths_all(spark: SparkSession, d: str) -> DataFrame:
     """All simple paths from entries to sinks, through sinks."""
@@ -218,8 +272,10 @@ def path_guards_full(spark: SparkSession, d: str) -> DataFrame:
     several AS (SELECT sink FROM paths GROUP BY 1 HAVING count(*) > 1),
     missing AS (SELECT p.entry, p.sink, p.path, w.guard FROM paths p JOIN several USING (sink) JOIN wanted w USING (sink)
       WHERE NOT EXISTS (SELECT 1 FROM guards g WHERE g.path = p.path AND g.guard = w.guard)),
-    n AS (SELECT sink, count(*) AS n_all FROM wanted GROUP BY 1)
-    SELECT entry, sink, path, string_agg(guard, ',' ORDER BY guard) AS missing, count(*)::DOUBLE / any_value(n_all) AS score FROM missing JOIN n USING (sink) GROUP BY 1, 2, 3""")
+    n AS (SELECT sink, count(*) AS n_all FROM wanted GROUP BY 1),
+    f AS (SELECT p.sink, g.guard, min(p.path) AS holder FROM paths p JOIN guards g USING (path) GROUP BY 1, 2)
+    SELECT entry, sink, path, string_agg(guard, ',' ORDER BY guard) AS missing, count(*)::DOUBLE / any_value(n_all) AS score, min(holder) AS sibling
+    FROM missing JOIN n USING (sink) JOIN f USING (sink, guard) GROUP BY 1, 2, 3""")
 def compare_siblings(spark: SparkSession, d: str) -> DataFrame:
     """Paths without a guard that another path to the same sink has."""
     return graph.compare_siblings(*_with_guards(spark, d))

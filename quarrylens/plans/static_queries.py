@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylens import dims
 from quarrylens.functions import text as T
 from quarrylens.operators import static
+from quarrylens.plans import code_queries
 from quarrylens.plans.code_queries import LINES, _in, _q
 from quarrylens.session import table
 
 QUERIES, ORACLE = {}, {}
+CODE, ORACLE_SCORE = code_queries.QUERIES, code_queries.ORACLE["signal_score"]
 
 
 def query(sql: str | None = None):
@@ -439,3 +442,106 @@ def result_documents(spark: SparkSession, d: str) -> DataFrame:
         F.array_min(ids).alias("first_result"), F.array_max(ids).alias("last_result"),
     )
 
+
+# --- narrowing --------------------------------------------------------------------------------------------------------
+
+_TIERS = "CASE WHEN score >= 6 THEN 'medium' WHEN score >= 4 THEN 'low' ELSE 'none' END"
+
+
+@query(f"SELECT id, {_TIERS} AS tier, least(score / 10, 0.9)::DOUBLE AS confidence FROM ({ORACLE_SCORE})")
+def python_tiers(spark: SparkSession, d: str) -> DataFrame:
+    """Tier and confidence of the additive score."""
+    score = F.col("score")
+    return CODE["signal_score"](spark, d).select(
+        "id", F.when(score >= 6, "medium").when(score >= 4, "low").otherwise("none").alias("tier"), F.least(score / 10, F.lit(0.9)).alias("confidence")
+    )
+
+
+@query(f"""
+    SELECT id, repo, file, score FROM (SELECT s.id, n.repo, n.file, s.score, row_number() OVER (PARTITION BY n.repo, n.file ORDER BY s.score DESC, s.id) AS r FROM ({ORACLE_SCORE}) s JOIN nodes n ON n.id = s.id WHERE n.file IS NOT NULL)
+    WHERE r <= 2 ORDER BY score DESC, id LIMIT 40""")
+def top_overall(spark: SparkSession, d: str) -> DataFrame:
+    """The forty best functions, at most two of a file."""
+    from quarrylens.operators import funnel
+
+    n = table(spark, d, "nodes").where("file is not null").select("id", "repo", "file")
+    scored = CODE["signal_score"](spark, d).select("id", "score").join(n, "id")
+    best = funnel.cap_per(scored, ["repo", "file"], [F.col("score").desc(), F.col("id")], 2)
+    return best.orderBy(F.col("score").desc(), "id").limit(40).select("id", "repo", "file", "score")
+
+
+@query("""
+    SELECT lower(trim(source)) AS source, count(*) AS input, count_if(coalesce(da_survived, false)) AS survivors, count_if(NOT coalesce(da_survived, false)) AS rejected,
+      round(count_if(coalesce(da_survived, false)) / count(*), 6) AS ratio, count_if(coalesce(da_survived, false)) / count(*) < 0.05 AS alarm FROM da_results GROUP BY 1""")
+def stage_split(spark: SparkSession, d: str) -> DataFrame:
+    """Survivors and rejected rows of a stage, which together are its input, their ratio, and an alarm below five percent."""
+    keep = F.coalesce("da_survived", F.lit(False))
+    ratio = F.count_if(keep) / F.count(F.lit(1))
+    return table(spark, d, "da_results").groupBy(F.lower(F.trim("source")).alias("source")).agg(
+        F.count(F.lit(1)).alias("input"), F.count_if(keep).alias("survivors"), F.count_if(~keep).alias("rejected"), F.round(ratio, 6).alias("ratio"), (ratio < 0.05).alias("alarm")
+    )
+
+
+@query(f"""
+    WITH f AS (SELECT repo, file, sum(length(code)) AS size, bool_or(regexp_matches(code, 'eval|exec|system|execute')) AS hit FROM nodes WHERE code <> '' AND file IS NOT NULL GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY size DESC, file) AS place FROM f)
+    SELECT repo, min((place, file))[2] AS file, min(place)::INT AS place FROM r WHERE place <= 5 AND hit GROUP BY 1""")
+def first_hit_files(spark: SparkSession, d: str) -> DataFrame:
+    """Of the five largest files of a repository the first that holds a sink: what a scan that stops at a hit would report."""
+    f = table(spark, d, "nodes").where("code <> '' and file is not null").groupBy("repo", "file").agg(
+        F.sum(F.length("code")).alias("size"), F.bool_or(F.col("code").rlike("eval|exec|system|execute")).alias("hit")
+    )
+    place = F.row_number().over(W.partitionBy("repo").orderBy(F.col("size").desc(), "file"))
+    first = F.min(F.struct("place", "file")).alias("b")
+    return f.withColumn("place", place).where("place <= 5 and hit").groupBy("repo").agg(first).select("repo", "b.file", "b.place")
+
+
+@query("""
+    WITH h AS (SELECT n.repo, n.id, n.file || ':' || coalesce(n.start_line, 1) || ' ' || coalesce(nullif(n.sink_kind, ''), 'none') AS hit, row_number() OVER (PARTITION BY n.repo ORDER BY n.id) AS r FROM nodes n WHERE n.is_sink AND n.file IS NOT NULL)
+    SELECT repo, count(*) AS hits, string_agg(hit, chr(10) ORDER BY id) AS text FROM h WHERE r <= 20 GROUP BY 1""")
+def static_hits(spark: SparkSession, d: str) -> DataFrame:
+    """The first twenty sinks of a repository as a text."""
+    from quarrylens.operators import funnel
+
+    n = table(spark, d, "nodes").where("is_sink and file is not null")
+    hit = F.concat("file", F.lit(":"), F.coalesce("start_line", F.lit(1)).cast("string"), F.lit(" "), F.coalesce(F.nullif(F.col("sink_kind"), F.lit("")), F.lit("none")))
+    first = funnel.cap_per(n.select("repo", "id", hit.alias("hit")), ["repo"], [F.col("id")], 20)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("id", "hit"))), lambda h: h.hit)
+    return first.groupBy("repo").agg(F.count(F.lit(1)).alias("hits"), F.array_join(lines, "\n").alias("text"))
+
+
+@query("""
+    WITH k AS (SELECT candidate_id, vuln_id, substr(coalesce(description, root_cause, ''), 1, 70) AS summary, row_number() OVER (PARTITION BY candidate_id ORDER BY vuln_id) AS r FROM vulns WHERE candidate_id IS NOT NULL)
+    SELECT candidate_id, count(*) AS known, string_agg('- ' || vuln_id || ': ' || summary, chr(10) ORDER BY vuln_id) AS section FROM k WHERE r <= 5 GROUP BY 1""")
+def known_sections(spark: SparkSession, d: str) -> DataFrame:
+    """The first five known findings of a package, seventy characters each."""
+    from quarrylens.operators import funnel
+
+    v = table(spark, d, "vulns").where("candidate_id is not null").select("candidate_id", "vuln_id", F.substring(F.coalesce("description", "root_cause", F.lit("")), 1, 70).alias("summary"))
+    first = funnel.cap_per(v, ["candidate_id"], [F.col("vuln_id")], 5)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("vuln_id", "summary"))), lambda h: F.concat(F.lit("- "), h.vuln_id.cast("string"), F.lit(": "), h.summary))
+    return first.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("known"), F.array_join(lines, "\n").alias("section"))
+
+
+@query("""
+    SELECT repo, CASE WHEN count(DISTINCT CASE WHEN regexp_matches(lower(file), '\.(js|ts|jsx|tsx|mjs|cjs)$') THEN file END) > count(DISTINCT CASE WHEN lower(file) LIKE '%.py' THEN file END) THEN 'javascript' ELSE 'python' END AS language
+    FROM nodes WHERE file IS NOT NULL GROUP BY 1""")
+def majority_language(spark: SparkSession, d: str) -> DataFrame:
+    """Scripts only where they are more than Python files, else Python."""
+    scripts, python = F.countDistinct(F.when(T.is_script("file"), F.col("file"))), F.countDistinct(F.when(F.lower("file").endswith(".py"), F.col("file")))
+    return table(spark, d, "nodes").where("file is not null").groupBy("repo").agg(F.when(scripts > python, "javascript").otherwise("python").alias("language"))
+
+
+@query("""
+    SELECT vuln_id, CASE s WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS gate_rank, CASE s WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END AS report_rank
+    FROM (SELECT vuln_id, CASE WHEN cvss_score IS NULL THEN 'unknown' WHEN cvss_score >= 9 THEN 'critical' WHEN cvss_score >= 7 THEN 'high' WHEN cvss_score >= 4 THEN 'medium' ELSE 'low' END AS s FROM vulns)""")
+def severity_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """The two orders of severity: gates count an unknown one as low, reports rank it below."""
+    from quarrylens.operators import funnel
+
+    v = table(spark, d, "vulns").select("vuln_id", funnel.severity("cvss_score").alias("s"))
+    report = F.coalesce(F.create_map(*(F.lit(x) for kv in {"critical": 4, "high": 3, "medium": 2, "low": 1}.items() for x in kv))[F.col("s")], F.lit(0))
+    return v.select("vuln_id", funnel.severity_rank("s").alias("gate_rank"), report.alias("report_rank"))
+
+
+ORACLE["chunk_brace_blocks"] = ORACLE["brace_blocks"]  # the same rows under the name of the first round

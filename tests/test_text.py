@@ -100,3 +100,20 @@ def test_report_documents_hold_every_finding_once(spark, sf_dir):
     v = table(spark, sf_dir, "vulns")
     ids = [r["properties"]["vuln_id"] for d in emit.documents(v, 100).collect() for r in json.loads(d.document)["runs"][0]["results"]]
     assert sorted(ids) == sorted(r.vuln_id for r in v.select("vuln_id").collect())
+
+
+def test_stored_lists_graphs_and_contracts(spark, tmp_path):
+    import pytest
+
+    one = spark.createDataFrame([(i, f"v{i}") for i in range(15)], "n int, v string")
+    files.append_rows(one, str(tmp_path / "list"))
+    files.append_rows(one.withColumn("n", F.col("n") + 15), str(tmp_path / "list"))
+    (tmp_path / "list" / "part-broken.json").write_text("{broken\n")
+    assert [r.n for r in files.last_rows(spark, str(tmp_path / "list"), "n int, v string", "n").collect()] == list(range(29, 9, -1))
+    edges = spark.createDataFrame([(1, "a"), (1, "a"), (1, ""), (2, "b")], "caller_id long, callee_name string")
+    nodes = spark.createDataFrame([(1, "x")], "id long, name string")
+    files.write_graph(nodes, edges, str(tmp_path / "g"))
+    assert spark.read.parquet(str(tmp_path / "g/edges")).count() == 2
+    assert files.conforming(edges.withColumn("extra", F.lit(1)), "edges").columns == ["caller_id", "callee_name"]
+    with pytest.raises(ValueError, match="nodes lacks repo"):
+        files.conforming(nodes, "nodes")
