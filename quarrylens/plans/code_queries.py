@@ -53,10 +53,10 @@ SCAN_PATTERNS = {"advisory": "severity: (high|critical)", "path": "[a-z]+/[a-z_]
 def scan_severity(spark: SparkSession, d: str) -> DataFrame:
     """Line signals of documents, summed to a score, the best of each source, counted by severity."""
     points = lambda line: sum(
-        (F.when(F.lower(line).rlike(p), w).otherwise(0) for p, w in zip(SCAN_PATTERNS.values(), (9, 2, 1, 1))), F.lit(0)
+        (F.when(line.rlike(p), w).otherwise(0) for p, w in zip(SCAN_PATTERNS.values(), (9, 2, 1, 1))), F.lit(0)
     )
     scored = table(spark, d, "documents").where("text is not null").select(
-        F.lower(F.trim("source")).alias("source"), "doc_id", F.aggregate(T.lines("text"), F.lit(0), lambda n, x: n + points(x)).alias("score")
+        F.lower(F.trim("source")).alias("source"), "doc_id", F.aggregate(T.lines(F.lower("text")), F.lit(0), lambda n, x: n + points(x)).alias("score")
     ).where("score >= 2")
     best = funnel.cap_per(scored, ["source"], [F.col("score").desc(), F.col("doc_id")], 50)
     severity = F.when(F.col("score") >= 12, "high").when(F.col("score") >= 6, "medium").otherwise("low").alias("severity")

@@ -524,7 +524,7 @@ def known_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    SELECT repo, CASE WHEN count(DISTINCT CASE WHEN regexp_matches(lower(file), '\.(js|ts|jsx|tsx|mjs|cjs)$') THEN file END) > count(DISTINCT CASE WHEN lower(file) LIKE '%.py' THEN file END) THEN 'javascript' ELSE 'python' END AS language
+    SELECT repo, CASE WHEN count(DISTINCT CASE WHEN regexp_matches(lower(file), '[.](js|ts|jsx|tsx|mjs|cjs)$') THEN file END) > count(DISTINCT CASE WHEN lower(file) LIKE '%.py' THEN file END) THEN 'javascript' ELSE 'python' END AS language
     FROM nodes WHERE file IS NOT NULL GROUP BY 1""")
 def majority_language(spark: SparkSession, d: str) -> DataFrame:
     """Scripts only where they are more than Python files, else Python."""
