@@ -6,12 +6,18 @@ name that many nodes have resolves to one of them (``first`` or ``last``) or, wi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylens.session import cut_lineage
 
+Merge = Callable[[Column, Column], Column]
+
 
 def resolve(nodes: DataFrame, edges: DataFrame, policy: str = "first") -> DataFrame:
     """src, dst for edges (caller_id, callee_name). Edges are made distinct before the join, so a callee with a third of
@@ -53,6 +59,85 @@ def _towards(edges: DataFrame, sinks: DataFrame, hops: int) -> DataFrame:
     return cut_lineage(edges.join(reach, "dst").select("src", "dst", "togo"))
 
 
+def _differ(node: Column, others: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, (node != F.col(n) for n in others))
+
+
+def _levels(front: DataFrame, calls: DataFrame, names: list[str], most: int, merge: Merge | None) -> list[DataFrame]:
+    """Simple paths of 2, 3, ... ``len(names)`` nodes, a column for each, from the nodes of ``front``; ``togo`` is what the last one lacks to a sink.
+    All but the longest are cut: those are read where they are needed, a hop from the cut ones before them."""
+    levels = []
+    for k in range(1, len(names)):
+        near = calls.where(F.col("togo") <= most - 1 - k)
+        own = [merge(F.col("own"), F.col("mark")).alias("own")] if merge else []
+        hop = front.drop("togo").join(near, F.col(names[k - 1]) == F.col("src")).where(_differ(F.col("dst"), names[:k]))
+        front = hop.select(*names[:k], F.col("dst").alias(names[k]), "togo", *own)
+        if k < len(names) - 1:
+            front = cut_lineage(front)
+        levels.append(front)
+    return levels
+
+
+class Halves(NamedTuple):
+    """All simple paths as ``whole`` ones of few nodes, and ``heads`` whose last node is the first (``mid``) of ``tails`` that end in a sink.
+    What the nodes carry is merged in ``own``."""
+
+    whole: DataFrame
+    heads: DataFrame
+    tails: DataFrame
+    before: list[str]
+    after: list[str]
+    merge: Merge | None
+
+
+def halves(edges: DataFrame, entries: DataFrame, sinks: DataFrame, *, max_nodes: int, carried: DataFrame | None = None, empty: Column | None = None,
+           merge: Merge | None = None) -> Halves:
+    """Every simple path from entries to sinks, searched from its middle: only halves are stored and shuffled, and they are about as many as the root of
+    the paths. ``carried`` has node, own; ``empty`` stands for nodes without; ``merge`` joins the values of two parts."""
+    half = (max_nodes + 1) // 2
+    before, after = [f"n{k}" for k in range(1, half + 1)], [f"n{k}" for k in range(half + 1, max_nodes + 1)]
+    calls = _towards(edges, sinks, max_nodes - 2)
+    start = entries.select(F.col("id").alias(before[0])).distinct()
+    if merge:
+        value = F.coalesce(F.col("own"), empty)
+        calls = cut_lineage(calls.join(carried.withColumnRenamed("node", "dst"), "dst", "left").select("src", "dst", "togo", value.alias("mark")))
+        start = start.join(carried.withColumnRenamed("node", before[0]), before[0], "left").select(before[0], value.alias("own"))
+    own = ["own"] if merge else []
+    none = F.lit(None).cast("long")
+    levels = _levels(cut_lineage(start), calls, before, max_nodes, merge)
+    whole = [hop.where("togo = 0").select(*before[:k], *(none.alias(n) for n in before[k:]), F.col(before[k - 1]).alias("sink"), F.lit(k).alias("depth"), *own)
+             for k, hop in enumerate(levels, 2)]
+    heads = levels[-1].select(*before, *own)
+    mids = heads.select(F.col(before[-1]).alias("mid")).distinct()
+    if merge:
+        mids = mids.withColumn("own", empty)  # its own value is in the heads
+    ends = _levels(cut_lineage(mids), calls, ["mid", *after], max_nodes - half + 1, merge)
+    tails = [hop.where("togo = 0").select("mid", *after[:k], *(none.alias(n) for n in after[k:]), F.col(after[k - 1]).alias("sink"), F.lit(half + k).alias("depth"), *own)
+             for k, hop in enumerate(ends, 1)]
+    return Halves(reduce(DataFrame.unionByName, whole), heads, reduce(DataFrame.unionByName, tails), before, after, merge)
+
+
+def path_text(nodes: list[str]) -> Column:
+    return F.concat_ws(">", *(F.col(n).cast("string") for n in nodes))
+
+
+def pairs(h: Halves) -> DataFrame:
+    """The paths of heads and tails: entry, sink, depth, path and own, and what else the two have. A tail shares no node with its head but the middle."""
+    heads = h.heads.withColumn("text_before", path_text(h.before))  # once a half, not once a path
+    tails = h.tails.withColumnRenamed("own", "own_after").withColumn("text_after", path_text(h.after))
+    apart = reduce(lambda a, b: a & b, (F.col(n).isNull() | _differ(F.col(n), h.before[:-1]) for n in h.after))
+    both = tails.join(heads, F.col(h.before[-1]) == F.col("mid")).where(apart)  # in this order the rows of a tail follow each other
+    both = both.withColumns({"entry": F.col(h.before[0]), "path": F.concat("text_before", F.lit(">"), "text_after")})
+    return both.withColumn("own", h.merge(F.col("own"), F.col("own_after"))) if h.merge else both
+
+
+def all_paths(h: Halves) -> DataFrame:
+    """entry, sink, depth, path and own. Equal rows can't come: a path is cut in one place, and edges and entries are distinct."""
+    columns = ["entry", "sink", "depth", "path", *(["own"] if h.merge else [])]
+    whole = h.whole.withColumns({"entry": F.col(h.before[0]), "path": path_text(h.before)})
+    return whole.select(columns).unionByName(pairs(h).select(columns))
+
+
 def paths(edges: DataFrame, entries: DataFrame, sinks: DataFrame, *, max_nodes: int = 5, stop_at_sink: bool = False,
           keep: str = "shortest", ahead: bool = False) -> DataFrame:
     """entry, sink, depth, path (ids joined with ``>``) of bounded simple paths from entries to sinks.
@@ -60,8 +145,10 @@ def paths(edges: DataFrame, entries: DataFrame, sinks: DataFrame, *, max_nodes:
     A frontier is joined with the edges hop by hop; its lineage is cut each hop. With ``shortest`` a node is visited once
     per entry, by its smallest path (an anti-join against what the entry has seen), so the work is bounded by entries times
     nodes; with ``all`` every simple path is kept and ``max_nodes`` bounds the depth. ``ahead`` follows only nodes from which a sink
-    can still be reached within the bound; it loses no path, and deep searches need it.
+    can still be reached within the bound; it loses no path, and deep searches need it. For ``all`` it then searches by halves.
     """
+    if ahead and keep == "all" and not stop_at_sink and max_nodes > 2:
+        return all_paths(halves(edges, entries, sinks, max_nodes=max_nodes))
     frontier = cut_lineage(entries.select(F.col("id").alias("entry"), F.col("id").alias("node"), F.array("id").alias("path")).distinct())
     seen = frontier.select("entry", "node")
     found = None

@@ -1,5 +1,7 @@
 """The four path policies on a small graph with a cycle and a diamond, and what follows from paths."""
 
+import os
+import random
 import re
 
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from quarrylens import dims
 from quarrylens.operators import funnel, graph
 from quarrylens.plans import graph_queries
-from quarrylens.session import table
+from quarrylens.session import ensure_checkpoint_dir, table
 
 NAMES = {1: "handle_a", 2: "handle_b", 3: "helper", 4: "check_permission", 5: "run_query", 6: "write_log", 7: "loop_x", 8: "alt"}
 CALLS = [(1, 3), (1, 4), (2, 3), (2, 8), (3, 5), (8, 5), (5, 6), (3, 7), (7, 3)]
@@ -144,6 +146,35 @@ def test_comparison_to_eleven_nodes(spark, sf_dir):
     assert {r.path: r.verdict for r in queries["rebut_paths_full"](spark, sf_dir).collect()} == verdicts
 
 
+def ladder(spark, layers, wide):
+    """Nodes in layers, each calling the whole next layer; entries are the first, sinks the last and one of the middle."""
+    ids = [k * 100 + i for k in range(layers) for i in range(wide)]
+    edges = spark.createDataFrame([(a, (a // 100 + 1) * 100 + i) for a in ids if a < (layers - 1) * 100 for i in range(wide)], "src long, dst long")
+    return edges, *(spark.createDataFrame([(i,) for i in x], "id long") for x in (range(wide), [layers // 2 * 100, *((layers - 1) * 100 + i for i in range(wide))]))
+
+
+def stored(spark):
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files)
+
+
+def test_deep_search_stores_halves_of_paths(spark):
+    graph_of = ladder(spark, 11, 3)
+    before = stored(spark)
+    found = graph.paths(*graph_of, max_nodes=11, keep="all", ahead=True)
+    assert found.count() == 3**11 + 3**5
+    assert stored(spark) - before < 2_000_000  # the paths alone have 18 MB as rows
+
+
+def test_deep_search_equals_search_by_hops(spark):
+    rnd = random.Random(7)
+    edges = spark.createDataFrame(sorted({(a, b) for a, b in ((rnd.randrange(12), rnd.randrange(12)) for _ in range(30)) if a != b}), "src long, dst long")
+    entries, sinks = (spark.createDataFrame([(i,) for i in x], "id long") for x in ((0, 1, 2, 5), (2, 7, 9, 11)))
+    for most in (2, 3, 4, 7, 10):
+        deep, plain = (sorted(map(tuple, graph.paths(edges, entries, sinks, max_nodes=most, keep="all", ahead=x).collect())) for x in (True, False))
+        assert deep == plain and deep
+
+
 def test_long_ids_stay_whole(spark):
     big = 1234567890123
     nodes = spark.createDataFrame([(1, "a", True, False), (big, "b", False, True), (big + 1, "c", False, True)], "id long, name string, is_entry boolean, is_sink boolean")
