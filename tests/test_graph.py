@@ -175,6 +175,28 @@ def test_deep_search_equals_search_by_hops(spark):
         assert deep == plain and deep
 
 
+@pytest.fixture(scope="module")
+def ladder_dir(spark, tmp_path_factory):
+    """Tables of the ladder: its edges by name, a guard called from one node and a gate."""
+    at = str(tmp_path_factory.mktemp("ladder"))
+    edges, entries, sinks = (x.collect() for x in ladder(spark, 11, 3))
+    ids = {i for r in edges for i in r}
+    rows = [(i, f"f{i}", i in {r.id for r in entries}, i == 301, i in {r.id for r in sinks}) for i in ids] + [(5000, "check_a", False, False, False)]
+    spark.createDataFrame(rows, "id long, name string, is_entry boolean, is_gate boolean, is_sink boolean").write.parquet(f"{at}/nodes.parquet")
+    calls = [(r.src, f"f{r.dst}") for r in edges] + [(402, "check_a"), (702, "check_a"), (702, "verify_b")]
+    spark.createDataFrame(calls, "caller_id long, callee_name string").write.parquet(f"{at}/edges.parquet")
+    return at
+
+
+def test_deep_rebuttal_stores_halves_of_paths(spark, ladder_dir):
+    before = stored(spark)
+    got = graph_queries.QUERIES["rebut_paths_full"](spark, ladder_dir)
+    counts = {r.verdict: r["count"] for r in got.groupBy("verdict").count().collect()}
+    gate, short = 3**10, 3**4  # a third of the 3**11 long and 3**5 short paths
+    assert counts == {"gate on the path": gate + short, "guard called": 3**9 * 6 * 5 // 9 + 54, "survives": 3**9 * 6 * 4 // 9 + 108}
+    assert stored(spark) - before < 4_000_000
+
+
 def test_long_ids_stay_whole(spark):
     big = 1234567890123
     nodes = spark.createDataFrame([(1, "a", True, False), (big, "b", False, True), (big + 1, "c", False, True)], "id long, name string, is_entry boolean, is_sink boolean")
