@@ -253,6 +253,11 @@ def _halves(spark: SparkSession, d: str, carried: DataFrame, empty: Column, merg
     return graph.halves(cut_lineage(_edges(spark, d)), *_ends(spark, d), max_nodes=_FULL["max_nodes"], carried=carried, empty=empty, merge=merge)
 
 
+def _guarded_halves(spark: SparkSession, d: str) -> graph.Halves:
+    called = table(spark, d, "edges").where(_is_guard()).groupBy(F.col("caller_id").alias("node")).agg(F.collect_set("callee_name").alias("own"))
+    return _halves(spark, d, called, F.array().cast("array<string>"), F.array_union)
+
+
 @query()
 def paths_all_full(spark: SparkSession, d: str) -> DataFrame:
     """paths_all to eleven nodes."""
@@ -271,8 +276,9 @@ def path_guards(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def path_guards_full(spark: SparkSession, d: str) -> DataFrame:
-    """path_guards to eleven nodes."""
-    return _names(_with_guards(spark, d, **_FULL)[1])
+    """path_guards to eleven nodes. Each half carries the guards of its nodes."""
+    found = graph.all_paths(_guarded_halves(spark, d)).where("size(own) > 0")
+    return found.select("path", F.size("own").cast("long").alias("guards"), F.array_join(F.sort_array("own"), ",").alias("names"))
 
 
 @query(f"""WITH {_PATHS}, {_GUARDS},

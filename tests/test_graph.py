@@ -197,6 +197,14 @@ def test_deep_rebuttal_stores_halves_of_paths(spark, ladder_dir):
     assert stored(spark) - before < 4_000_000
 
 
+def test_deep_guards_store_halves_of_paths(spark, ladder_dir):
+    before = stored(spark)
+    got = graph_queries.QUERIES["path_guards_full"](spark, ladder_dir)
+    counts = {(r.names, r.guards): r["count"] for r in got.groupBy("names", "guards").count().collect()}
+    assert counts == {("check_a", 1): 3**9 * 2 + 81, ("check_a,verify_b", 2): 3**10}
+    assert stored(spark) - before < 4_000_000
+
+
 def test_long_ids_stay_whole(spark):
     big = 1234567890123
     nodes = spark.createDataFrame([(1, "a", True, False), (big, "b", False, True), (big + 1, "c", False, True)], "id long, name string, is_entry boolean, is_sink boolean")
