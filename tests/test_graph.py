@@ -205,6 +205,27 @@ def test_deep_guards_store_halves_of_paths(spark, ladder_dir):
     assert stored(spark) - before < 4_000_000
 
 
+def test_deep_siblings_store_halves_of_paths(spark, ladder_dir):
+    before = stored(spark)
+    got = graph_queries.QUERIES["compare_siblings_full"](spark, ladder_dir)
+    counts = {r.missing: r["count"] for r in got.groupBy("missing").count().collect()}
+    assert counts == {"check_a,verify_b": 3**9 * 4, "verify_b": 3**9 * 2, "check_a": 162}
+    assert stored(spark) - before < 6_000_000
+
+
+def test_siblings_by_halves_and_parts_equal_those_by_paths(spark):
+    rnd = random.Random(3)
+    edges = spark.createDataFrame(sorted({(a, b) for a, b in ((rnd.randrange(8, 22), rnd.randrange(8, 22)) for _ in range(34)) if a != b}), "src long, dst long")
+    entries, sinks = (spark.createDataFrame([(i,) for i in x], "id long") for x in ((8, 9, 12, 18), (9, 14, 16, 21)))
+    calls = spark.createDataFrame(sorted({(rnd.randrange(8, 22), f"g{rnd.randrange(9)}") for _ in range(16)}), "caller_id long, callee_name string")
+    found = graph.paths(edges, entries, sinks, max_nodes=8, keep="all").select("entry", "sink", "path")
+    want = graph.compare_siblings(found, graph.guards_of(found, calls, F.lit(True))).collect()
+    called = calls.groupBy(F.col("caller_id").alias("node")).agg(F.collect_set("callee_name").alias("own"))
+    h = graph.halves(edges, entries, sinks, max_nodes=8, carried=called, empty=F.array().cast("array<string>"), merge=F.array_union)
+    for most_rows in (500_000, 9):
+        assert sorted(map(tuple, graph.siblings_of_halves(h, most_rows).collect())) == sorted(map(tuple, want)) and want
+
+
 def test_long_ids_stay_whole(spark):
     big = 1234567890123
     nodes = spark.createDataFrame([(1, "a", True, False), (big, "b", False, True), (big + 1, "c", False, True)], "id long, name string, is_entry boolean, is_sink boolean")
