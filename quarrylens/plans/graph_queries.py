@@ -277,7 +277,10 @@ def path_guards(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def path_guards_full(spark: SparkSession, d: str) -> DataFrame:
     """path_guards to eleven nodes. Each half carries the guards of its nodes."""
-    found = graph.all_paths(_guarded_halves(spark, d)).where("size(own) > 0")
+    h = _guarded_halves(spark, d)
+    bare = h._replace(merge=None)  # their own lists stay apart: only paths that have guards in both halves need a union
+    long = graph.pairs(bare).where("size(own) > 0 or size(own_after) > 0").withColumn("own", F.when(F.size("own_after") == 0, F.col("own")).otherwise(F.array_union("own", "own_after")))
+    found = long.select("path", "own").unionByName(h.whole.where("size(own) > 0").select(graph.path_text(h.before).alias("path"), "own"))
     return found.select("path", F.size("own").cast("long").alias("guards"), F.array_join(F.sort_array("own"), ",").alias("names"))
 
 
