@@ -226,6 +226,32 @@ def test_siblings_by_halves_and_parts_equal_those_by_paths(spark):
         assert sorted(map(tuple, graph.siblings_of_halves(h, most_rows).collect())) == sorted(map(tuple, want)) and want
 
 
+def test_sibling_is_first_as_text_where_one_middle_begins_another(spark):
+    """1>2>3>4>5>12>... comes before 1>2>3>4>5>1..., as the text goes on behind the middle node of a path."""
+    calls = [(20, 2), (2, 3), (3, 4), (4, 5), (5, 7), (5, 71), (7, 9), (71, 9), (21, 22), (22, 23), (23, 24), (24, 25), (25, 26), (26, 9)]
+    edges = spark.createDataFrame(calls, "src long, dst long")
+    entries, sinks = (spark.createDataFrame([(i,) for i in x], "id long") for x in ((20, 21), (9,)))
+    called = spark.createDataFrame([(2, ["g"])], "node long, own array<string>")
+    h = graph.halves(edges, entries, sinks, max_nodes=11, carried=called, empty=F.array().cast("array<string>"), merge=F.array_union)
+    assert [(r.path, r.missing, r.sibling) for r in graph.siblings_of_halves(h).collect()] == [("21>22>23>24>25>26>9", "g", "20>2>3>4>5>71>9")]
+
+
+def test_deep_siblings_store_no_row_for_a_sink_and_a_guard(spark, tmp_path):
+    """All 22 nodes of the ladder call 40 guards of their own; its sinks then know 440 or 840."""
+    edges, entries, sinks = (x.collect() for x in ladder(spark, 11, 2))
+    ids = sorted({i for r in edges for i in r})
+    rows = [(i, f"f{i}", i in {r.id for r in entries}, i in {r.id for r in sinks}) for i in ids]
+    spark.createDataFrame(rows, "id long, name string, is_entry boolean, is_sink boolean").write.parquet(f"{tmp_path}/nodes.parquet")
+    calls = [(r.src, f"f{r.dst}") for r in edges] + [(i, f"check_{i}_{k}_{'long' * 9}") for i in ids for k in range(40)]
+    spark.createDataFrame(calls, "caller_id long, callee_name string").write.parquet(f"{tmp_path}/edges.parquet")
+    before = stored(spark)
+    got = graph_queries.QUERIES["compare_siblings_full"](spark, str(tmp_path))
+    assert stored(spark) - before < 200_000
+    some = got.where("path = '0>100>200>300>400>500'").first()
+    away = sorted(f"check_{i}_{k}_{'long' * 9}" for i in ids if i % 100 and i < 500 for k in range(40))
+    assert some.missing == ",".join(away) and some.score == len(away) / (len(away) + 240) and some.sibling == "0>100>200>300>401>500"
+
+
 def test_long_ids_stay_whole(spark):
     big = 1234567890123
     nodes = spark.createDataFrame([(1, "a", True, False), (big, "b", False, True), (big + 1, "c", False, True)], "id long, name string, is_entry boolean, is_sink boolean")
